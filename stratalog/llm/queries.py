@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-from stratalog.llm import bloom, bpe, packing, quantiles
+from stratalog.llm import bloom, bpe, packing, quantiles, sentences
 from stratalog.session import settle, table
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -56,7 +56,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(settle(_packed(spark, d), "packed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_report, p3_percentiles, p3_counts, p7_ids, p8_packed, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every commit message."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_report, p3_percentiles, p3_counts, p7_ids, p8_packed, p8_fill, p9_found)}
 
 SQL = {
     "p1_found": """WITH r AS (SELECT DISTINCT entry_id, entry_key FROM sstable_entry WHERE entry_key IS NOT NULL),
