@@ -214,7 +214,8 @@ def _breaks(text: str, begin: int, lang: str, model: Model) -> list[int]:
         elif p["end"].match(text, j) and not text[j].isspace():
             continue  # the mark that follows the quote decides
         spaced, after = k > j, text[k]
-        cjk = mark[0] in FULL or (after >= "぀" and a > 0 and text[a - 1] >= "぀")
+        east = a > 0 and "぀" <= text[a - 1] <= "鿿"
+        cjk = mark[0] in FULL or (east and (after >= "぀" or "…" in mark))
         if not spaced and not cjk and mark[0] not in "।॥؟۔":
             continue
         if after in COMMAS:
@@ -239,7 +240,7 @@ def _breaks(text: str, begin: int, lang: str, model: Model) -> list[int]:
         elif j > m.end() and lower:
             continue
         elif smile or "…" in mark or ".." in mark:
-            if lower:
+            if lower and not east:
                 continue
         elif mark == ".":
             left = text[last:a].rsplit(None, 1)
