@@ -45,17 +45,24 @@ def with_default(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(value, F.lit(0).cast(kind) if not isinstance(kind, T.BooleanType) else F.lit(False))
 
 
-def conform(df: DataFrame, schema: TableSchema, named: list[str] | None = None) -> DataFrame:
-    """``df`` with the table's columns and types; missing ones are null. Unknown columns are an error here, bad values when the plan runs."""
-    names = named or df.columns
-    if len(names) != len(df.columns):
-        raise InvalidArgument(f"{len(names)} columns but {len(df.columns)} values")
+def conform(df: DataFrame, schema: TableSchema, named: list[str] | None = None, keep: list[str] | None = None, skip: list[str] | None = None, unchecked: str | None = None) -> DataFrame:
+    """``df`` with the table's columns and types; missing ones are null. Unknown columns are an error here, bad values when the plan runs.
+
+    Columns in ``keep`` go along as they are, those in ``skip`` are left out; rows whose column ``unchecked`` is true (tombstones)
+    need no more than their key.
+    """
+    aside = [*(keep or []), *(skip or [])]
+    values = [c for c in df.columns if c not in aside]
+    names = named or values
+    if len(names) != len(values):
+        raise InvalidArgument(f"{len(names)} columns but {len(values)} values")
+    free = F.coalesce(F.col(unchecked), F.lit(False)) if unchecked else F.lit(False)
     given = {schema.column(n).name: F.col(f"`_in{i}`") for i, n in enumerate(names)}
     if len(given) < len(names):
         raise InvalidArgument("a column is given twice")
     if schema.primary_key not in given:
         raise InvalidArgument(f"no value for primary key {schema.primary_key}")
-    src = df.toDF(*[f"_in{i}" for i in range(len(names))])
+    src = df.select(*(F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(values)), *(keep or []))
     kinds = {f"_in{i}": f.dataType for i, f in enumerate(src.schema)}
     out = []
     for c in schema.columns:
@@ -70,6 +77,6 @@ def conform(df: DataFrame, schema: TableSchema, named: list[str] | None = None)
         bad = value.isNotNull() & typed.isNull()
         typed = F.when(bad, F.raise_error(F.concat(F.lit(f"type mismatch in column {c.name}: "), value.cast("string")))).otherwise(typed)
         if not c.nullable or c.name == schema.primary_key:
-            typed = F.when(value.isNull(), F.raise_error(F.lit(f"column {c.name} may not be null")).cast(c.type)).otherwise(typed)
+            typed = F.when(value.isNull() & (F.lit(c.name == schema.primary_key) | ~free), F.raise_error(F.lit(f"column {c.name} may not be null")).cast(c.type)).otherwise(typed)
         out.append(typed.cast(c.type).alias(c.name))
-    return src.select(*out)
+    return src.select(*out, *(keep or []))

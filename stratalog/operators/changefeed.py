@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.session import new_path, parallelism
+from stratalog.session import new_path, parallelism, qualified
 from stratalog.sources import durable
 
 INSERT, DELETE = 1, 2
@@ -178,7 +178,7 @@ class BucketedTable:
     """A keyed table kept as one file per bucket; each version is a manifest naming a file for every bucket."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, qualified(spark, path.rstrip("/"))
 
     def versions(self) -> list[str]:
         return [p for p, _ in durable.listing(self.spark, f"{self.path}/_versions", ".json")]

@@ -18,7 +18,7 @@ have (none). Null keys are a key of their own. Registered files that are not liv
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ SHARD_FILES = 50_000
 
 def sized_files(meta: DataFrame, index: DataFrame) -> DataFrame:
     """Counting registrations with ``size``, the bytes a file really takes."""
-    ends = index.groupBy("file_path").agg(F.max(F.col("block_offset") + F.col("block_size")).alias("_end"))
+    ends = index.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max(F.col("block_offset") + F.col("block_size")).alias("_end"))
     known = F.when(F.col("file_size") > 0, F.col("file_size"))
     return counting_registrations(meta).join(ends, "file_path", "left").withColumn("size", F.coalesce(known, F.col("_end"), F.lit(0)).cast("bigint")).drop("_end")
 
@@ -91,7 +91,7 @@ def merged_records(entries: DataFrame, assignment: DataFrame) -> DataFrame:
     Reduced by a map-side aggregate on the record, so a key with any share of all rows is no hot spot (its records differ by sequence).
     """
     rest = ["is_deleted", "entry_value"]
-    rows = entries.join(assignment, "file_path")
+    rows = entries.select("file_path", "entry_id", "entry_key", "sequence_number", *rest).join(assignment.select("file_path", "output"), "file_path")
     kept = rows.groupBy("entry_key", "sequence_number").agg(F.min_by(F.struct("output", *rest), F.struct("entry_id", "output")).alias("r"))
     return kept.select("entry_key", "sequence_number", "r.*")
 
@@ -113,7 +113,7 @@ class Compactor:
         done = self.committed()
         if txn in done:
             return done[txn]
-        folder = f"{self.path}/data/{txn}-{new_path(self.spark, 'x')[-32:]}"
+        folder = f"{self.path}/data/{txn}-{uuid.uuid4().hex}"
         records = merged_records(entries, plan)
         # one sorted run per output: records of an output meet in one task, which holds about the target size of each
         records.repartition(max(1, row["outputs"]), "output").sortWithinPartitions("output", "entry_key", "sequence_number").write.parquet(f"{folder}/records")
@@ -127,10 +127,7 @@ class Compactor:
 def compact(meta: DataFrame, index: DataFrame, entries: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(merged records, merges) of all files that are too small, through a committed transaction."""
     spark = meta.sparkSession
+    path = path or new_path(spark, "compaction")
     assignment, journal = plan_merges(small_files(sized_files(meta, index)))
-    commit = Compactor(spark, path or new_path(spark, "compaction")).run(entries, assignment, journal)
+    commit = Compactor(spark, path).run(entries, assignment, journal)
     return spark.read.parquet(commit["records"]), spark.read.parquet(commit["merges"])
-
-
-def journal_line(commit: dict) -> str:
-    return json.dumps(commit, sort_keys=True)

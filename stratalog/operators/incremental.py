@@ -28,10 +28,14 @@ BLOCK = 1 << BLOCK_BITS
 LEVELS = 54
 
 
+#: What is read of a registration; other columns play no part.
+REGISTRATION = ["min_key", "max_key", "min_sequence", "max_sequence", "file_size", "entry_count", "sst_level", "creation_time", "state"]
+
+
 def counting_registrations(meta: DataFrame) -> DataFrame:
-    """One row per file: its latest registration."""
-    rest = [c for c in meta.columns if c not in ("file_path", "registered_at")]
-    best = meta.groupBy("file_path").agg(F.max(F.struct("registered_at", *rest)).alias("_r"))
+    """One row per file: its latest registration. Registrations without a path are void."""
+    rest = [c for c in REGISTRATION if c in meta.columns]
+    best = meta.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max(F.struct("registered_at", *rest)).alias("_r"))
     return best.select("file_path", "_r.*")
 
 
@@ -78,7 +82,10 @@ def unflushed_changes(log: DataFrame, meta: DataFrame) -> tuple[VersionedTable,
     firsts = valid_changes(log).groupBy("sequence_number").agg(F.min("arrived_at").alias("first_arrival"))
     source.append(firsts.withColumn("block", F.expr(f"shiftright(sequence_number, {BLOCK_BITS})")))
     flushes = counting_registrations(meta).where("sst_level = 0 AND coalesce(state, '') <> 'aborted'").select("min_sequence", "max_sequence", F.col("creation_time").alias("until"))
-    rows = source.rows(source.state().files)
+    files = source.state().files
+    if not files:
+        return source, Consumer(source, new_path(spark, "flush"))
+    rows = source.rows(files)
     pieces = flushed_pieces(flushes, rows.select("block").distinct()).withColumnRenamed("block", "_b")
     taken = rows.join(pieces, (F.col("block") == F.col("_b")) & F.col("sequence_number").between(F.col("lo"), F.col("hi")) & (F.col("until") >= F.col("first_arrival")), "left_semi")
     source.delete_positions(taken.select("_file", "_row"))
@@ -89,4 +96,4 @@ def next_flush(log: DataFrame, meta: DataFrame) -> DataFrame:
     """Sequence numbers the next flush must take, read from its commit."""
     _, consumer = unflushed_changes(log, meta)
     consumer.run(lambda delta: delta.where("_change = 1").select("sequence_number"))
-    return consumer.output().select("sequence_number")
+    return consumer.output("sequence_number bigint")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import bitmaps
@@ -61,8 +61,6 @@ def counting_lives(parents: DataFrame, cols: Lives) -> DataFrame:
 def dictionary(keys: DataFrame, shards: int) -> DataFrame:
     """(key, shard, code) with dense codes from 0 in each shard."""
     spread = keys.distinct().withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    from pyspark.sql import Window
-
     return spread.withColumn("code", F.row_number().over(Window.partitionBy("shard").orderBy("key")) - 1)
 
 
@@ -107,7 +105,8 @@ def orphan_references(references: DataFrame, parents: DataFrame, ref: References
     codes = settle(dictionary(referred.select("key").union(lives.select("key")), shards), "dictionary")
 
     first, last = references.agg(F.min(month_number(F.col(f"`{ref.time}`"))), F.max(month_number(F.col(f"`{ref.time}`")))).first()
-    first, last = (0, -1) if first is None else (first, last)
+    if first is None:  # no reference has a time
+        first, last = 0, -1
     begins, ends = month_number(F.col("start")), F.coalesce(month_number(F.col("end")), F.lit(last))
     span = lives.withColumns({"from": F.greatest(begins, F.lit(first)), "to": F.least(ends, F.lit(last))}).where("`from` <= `to`")
     months = span.withColumn("period", F.explode(F.sequence("from", "to")))

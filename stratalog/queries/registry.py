@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.queries import pipeline
+from stratalog.queries import core, pipeline
 
-QUERIES = {**pipeline.QUERIES}
-SQL = {**pipeline.SQL}
+QUERIES = {**core.QUERIES, **pipeline.QUERIES}
+SQL = {**core.SQL, **pipeline.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

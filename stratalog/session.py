@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/")
+        return qualified(spark, found.rstrip("/"))
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         if spark.sparkContext.master.startswith("local"):
@@ -52,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system, so that workers open the same place as Spark does."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

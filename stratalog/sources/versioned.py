@@ -169,5 +169,7 @@ class Consumer:
             raise RuntimeError("another run of this consumer committed first")
         return n
 
-    def output(self) -> DataFrame:
-        return self.spark.read.parquet(*[c["data"] for c in self._commits()])
+    def output(self, schema: str) -> DataFrame:
+        """All rows committed so far."""
+        folders = [c["data"] for c in self._commits()]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)

@@ -31,10 +31,7 @@ def upsert_stream(engine: Engine, table: str, stream: DataFrame, name: str, chec
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.where(F.col(schema.primary_key).isNotNull())
         flag = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-        typed = conform(rows.drop(deleted) if deleted else rows, schema)
-        if deleted:
-            # conform keeps rows and their order, so flag and row are taken from one struct
-            typed = rows.select(*(F.col(c.name).cast(c.type) for c in schema.columns), flag.alias(merge.DELETED))
+        typed = conform(rows.withColumn(merge.DELETED, flag), schema, skip=[deleted] if deleted else [], keep=[merge.DELETED], unchecked=merge.DELETED)
         engine.store(table).commit(typed, stream=(name, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**TRIGGERS[mode]).start()
