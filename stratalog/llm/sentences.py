@@ -120,15 +120,15 @@ def segments(message: str) -> list[tuple[int, int, int, bool]]:
             out += [(a, b, a, True) for a, b, _ in block]
             continue
         figures = [(m, int(m[1])) if (m := p["number"].match(x[2])) else None for x in block]
-        begin = None
+        begin, here = None, False
         for n, (a, b, line) in enumerate(block):
             mark = p["bullet"].match(line)
             if not mark and figures[n]:
                 found, value = figures[n]
                 later = next((f[1] for f in figures[n + 1 :] if f), None)
                 ended = n == 0 or block[n - 1][2].rstrip()[-1] in ".!?…:" + CLOSERS or ord(block[n - 1][2].rstrip()[-1]) > 0x500
-                if (number and value == number + 1 and (n > 0 or later == value + 1 or len(block) == 1)) or (value == 1 and (later == 2 or ended)):
-                    mark, number = found, value
+                if (number and value == number + 1 and (here or n == 0)) or (value == 1 and (later == 2 or ended)):
+                    mark, number, here = found, value, True
             if mark:
                 if begin is not None:
                     out.append((begin[0], a, begin[1], False))
