@@ -29,8 +29,10 @@ ERROR_RATE = 0.01
 FIRST_LAYER = 1024
 GROWTH, TIGHTENING = 2, 0.5
 HISTORY, RECORD = 0, 1
-#: Keys that a shard should take about; its filter is then about 2 MB.
-KEYS_PER_SHARD = 1_000_000
+#: Keys that a shard should take about; its chain is then about 8 MB.
+KEYS_PER_SHARD = 4_000_000
+#: Rows that are reduced together before the shuffle.
+REDUCE_ROWS = 400_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -108,19 +110,27 @@ class BloomChain:
 
 
 def _first_of_split(batches: Iterator) -> Iterator:
-    """Keep a split's first record of each key for the shards; the others are certainly seen."""
-    import pandas as pd
+    """Keep the first record of each key for the shards; the others are certainly seen. Works on runs of REDUCE_ROWS, so memory is bounded."""
     import pyarrow as pa
 
-    frames = [b.to_pandas() for b in batches if b.num_rows]
-    if not frames:
-        return
-    x = pd.concat(frames, ignore_index=True)
-    first = x.groupby(["kind", "h"])["n"].transform("min")
-    if (x["kind"] == HISTORY).any():
-        x = x[(x["kind"] == RECORD) | ~x.duplicated(["kind", "h"])]
-        first = first.loc[x.index]
-    x = x.assign(certain=(x["kind"] == RECORD) & (x["n"] > first)).drop_duplicates(["kind", "h", "n"])
+    kept, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            kept.append(b)
+            size += b.num_rows
+        if size >= REDUCE_ROWS:
+            yield from _reduced(pa.Table.from_batches(kept))
+            kept, size = [], 0
+    if kept:
+        yield from _reduced(pa.Table.from_batches(kept))
+
+
+def _reduced(table) -> Iterator:
+    """A run's rows with ``certain``; a history key and a copy of a record are kept once."""
+    import pyarrow as pa
+
+    x = table.to_pandas().drop_duplicates(["kind", "h", "n"])
+    x["certain"] = (x["kind"] == RECORD) & (x["n"] > x.groupby(["kind", "h"])["n"].transform("min"))
     yield from pa.Table.from_pandas(x, preserve_index=False).to_batches(max_chunksize=50_000)
 
 
