@@ -443,7 +443,8 @@ def messages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, sent_start, sent_end) of every sentence of every message."""
     spark = docs.sparkSession
-    messages = messages_of(docs, id_col, text_col, lang_col)
+    # both passes read the messages, a fraction of the texts; they are cut from them once
+    messages = spread(settle(messages_of(docs, id_col, text_col, lang_col), "messages"))
     uri = new_path(spark, "sentence-model")
     learn(messages).write.parquet(uri)
     return messages.mapInArrow(_split(uri if "://" in uri else f"file://{uri}"), "id bigint, sent_start bigint, sent_end bigint").withColumnRenamed("id", id_col)
