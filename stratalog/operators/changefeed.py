@@ -16,6 +16,7 @@ columns and clashing names do no harm. A bucket's state lives in one worker's Du
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ INSERT, DELETE = 1, 2
 ROWS_PER_BUCKET = 250_000
 #: Rows handed to DuckDB in one statement.
 UPSERT_ROWS = 120_000
-#: DuckDB's share of a worker's memory; beyond it, it spills to the executor's local folder.
+#: DuckDB's share of a worker's memory; beyond it, it spills to the executor's own spill folder.
 DUCKDB_MEMORY = "400MB"
 
 _COMMIT = "bucket int, file string, keys bigint, live bigint, max_sequence bigint"
@@ -59,7 +60,8 @@ class _Bucket:
 
         v = "".join(f", v{i}" for i in range(n_values))
         self.columns = f"k, s, a, d{v}"
-        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": DUCKDB_MEMORY, "temp_directory": os.environ.get("SPARK_LOCAL_DIRS", "/tmp").split(",")[0] + f"/duckdb-{uuid.uuid4().hex}"})
+        scratch = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",")[0]  # where the executor spills, if it is known
+        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": DUCKDB_MEMORY, "temp_directory": f"{scratch}/duckdb-{uuid.uuid4().hex}" if scratch else ""})
         self.con.execute("CREATE TABLE state (k VARCHAR PRIMARY KEY, s BIGINT, a BIGINT, d BOOLEAN" + "".join(f", v{i} VARCHAR" for i in range(n_values)) + ")")
         sets = ", ".join(f"{c} = excluded.{c}" for c in ("s", "a", "d", *(f"v{i}" for i in range(n_values))))
         # one statement may touch a key once, so each block is reduced by the same rule first
@@ -132,14 +134,8 @@ def _apply_bucket(n_values: int, folder: str, previous: dict[int, str]):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        def by_bucket():
-            """A task holds one bucket."""
-            for b in batches:
-                if b.num_rows:
-                    yield b
-
-        source = by_bucket()
-        first = next(source, None)
+        source = (b for b in batches if b.num_rows)
+        first = next(source, None)  # a task holds one bucket
         if first is None:
             return
         n = first.column("b")[0].as_py()
@@ -151,13 +147,7 @@ def _apply_bucket(n_values: int, folder: str, previous: dict[int, str]):
                     for b in pq.ParquetFile(f).iter_batches(UPSERT_ROWS):
                         bucket.take([pa.Table.from_batches([b])])
 
-            def rest():
-                for b in (first, *()):
-                    yield pa.Table.from_batches([b]).drop_columns(["b"])
-                for b in source:
-                    yield pa.Table.from_batches([b]).drop_columns(["b"])
-
-            bucket.take_all(rest())
+            bucket.take_all(pa.Table.from_batches([b]).drop_columns(["b"]) for b in itertools.chain([first], source))
             state = bucket.result()
         finally:
             bucket.close()

@@ -75,7 +75,7 @@ def plan_merges(small: DataFrame, target: int = TARGET_BYTES, below: int = SMALL
         journal.append(merged.where(~((F.size("inputs") == 1) & (F.col("inputs")[0] == F.col("output")))).select("output", "tier", "inputs", "bytes"))
         units = merged.select("shard", F.col("output").alias("unit"), "bytes")
         if above is not None:
-            units = settle(units.unionByName(above), f"compaction-units-{tier}")
+            units = units.unionByName(above)
     where = base.select("file_path", F.col("file_path").alias("unit"))
     for move in moves:
         where = where.join(move, "unit", "left").select("file_path", F.coalesce("output", "unit").alias("unit"))

@@ -17,6 +17,8 @@ from stratalog.sources import durable
 
 #: A deletion vector up to this many bytes is broadcast; a larger one is joined by shuffle. The size is known from its files.
 DV_BROADCAST_BYTES = 8 << 20
+#: Versions after which the state is written whole, so that replay stays short.
+SNAPSHOT_EVERY = 20
 
 
 @dataclass
@@ -42,8 +44,12 @@ class VersionedTable:
     def state(self, version: int | None = None) -> State:
         """Replay of the manifests up to ``version``; version 0 is the empty table."""
         version = self.latest() if version is None else version
-        out = State(version)
-        for v in range(1, version + 1):
+        out, start = State(version), 0
+        snaps = [p for p, _ in durable.listing(self.spark, f"{self.path}/_snapshots", ".json") if int(p.rsplit("/", 1)[1][:20]) <= version]
+        if snaps:
+            d = durable.read_json(self.spark, snaps[-1])
+            out.files, out.vectors, start = d["files"], d["vectors"], int(snaps[-1].rsplit("/", 1)[1][:20])
+        for v in range(start + 1, version + 1):
             log = durable.read_json(self.spark, self._log(v))
             for name, path in log.get("add", {}).items():
                 out.files[name] = path
@@ -57,6 +63,9 @@ class VersionedTable:
         version = self.latest() + 1
         if not durable.put_if_absent(self.spark, self._log(version), actions):
             raise RuntimeError(f"version {version} was published by another writer; retry on the new state")
+        if version % SNAPSHOT_EVERY == 0:
+            state = self.state(version)
+            durable.put_if_absent(self.spark, f"{self.path}/_snapshots/{version:020d}.json", {"files": state.files, "vectors": state.vectors})
         return version
 
     def append(self, df: DataFrame, remove: list[str] | None = None) -> int:

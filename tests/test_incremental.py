@@ -86,3 +86,14 @@ def test_deletion_vectors_add_up_and_large_positions(spark):
     left = table.read()
     assert left.count() == 100_000 - 66_000
     assert left.where("id < 33000 OR (id >= 40000 AND id < 73000)").count() == 0
+
+
+def test_snapshots_shorten_the_replay(spark, monkeypatch):
+    from stratalog.sources import versioned
+
+    monkeypatch.setattr(versioned, "SNAPSHOT_EVERY", 2)
+    table = VersionedTable(spark, new_path(spark, "vt"))
+    for i in range(5):
+        table.append(spark.createDataFrame([(i,)], "x bigint").coalesce(1))
+    assert [len(table.state(v).files) for v in range(6)] == [0, 1, 2, 3, 4, 5]
+    assert rows(table.changes(1, 4).select("x")) == [(1,), (2,), (3,)]
