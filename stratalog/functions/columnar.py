@@ -7,6 +7,9 @@ the rows are range-partitioned by the order, every partition works on its own pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +48,63 @@ def _before(df: DataFrame, order: str, value: Column) -> DataFrame:
     return rows.join(F.broadcast(tails), "_part").withColumn("_prev", F.coalesce("_prev", "_tail")).drop("_tail")
 
 
+def _local_runs(column: str):
+    """Runs of one sorted partition, found by Arrow's run-end encoding a batch at a time."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, number, held = TaskContext.get().partitionId(), 0, None  # held: the last run, which the next batch may continue
+        for b in batches:
+            if not b.num_rows:
+                continue
+            encoded = pc.run_end_encode(b.column(column))
+            values, ends = encoded.values, np.asarray(encoded.run_ends).astype(np.int64)
+            lengths = np.diff(ends, prepend=0)
+            if held is not None:
+                if values[0].as_py() == held[0].as_py():
+                    lengths[0] += held[1]
+                else:
+                    yield _run_batch(part, number, held[0], held[1], column, b)
+                    number += 1
+            held = (values[-1], int(lengths[-1]))
+            n = len(values) - 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(number, number + n)), values.slice(0, n), pa.array(lengths[:n])], ["_part", "_n", "val", "run_len"])
+                number += n
+            last = b
+        if held is not None:
+            yield _run_batch(part, number, held[0], held[1], column, last)
+
+    return run
+
+
+def _run_batch(part: int, number: int, value, length: int, column: str, like):
+    import pyarrow as pa
+
+    kind = like.schema.field(column).type
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([value.as_py()], kind), pa.array([length], pa.int64())], ["_part", "_n", "val", "run_len"])
+
+
 def rle_encode(df: DataFrame, order: str, column: str) -> DataFrame:
-    """Runs of equal values in order: run_id from 1, val, run_len. Nulls make runs too."""
-    rows = _before(_parts(df.select(order, column), order), order, F.col(column))
-    starts = rows.withColumn("_new", (F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col(column))).cast("bigint"))
-    running = starts.withColumn("_run", F.sum("_new").over(Window.partitionBy("_part").orderBy(order)))
-    totals = starts.groupBy("_part").agg(F.sum("_new").alias("_n"))
-    offsets = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
-    numbered = running.join(F.broadcast(offsets), "_part").withColumn("run_id", F.col("_run") + F.col("_off"))
-    return numbered.groupBy("run_id").agg(F.first(column).alias("val"), F.count("*").alias("run_len"))
+    """Runs of equal values in order: run_id from 1, val, run_len. Nulls make runs too.
+
+    Each range partition finds its own runs in one pass; only runs, not rows, are numbered, and a run that crosses a border is joined.
+    """
+    from stratalog.session import settle, ship
+
+    ship(df.sparkSession)
+    rows = df.select(order, F.col(column)).repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    kind = df.schema[column].dataType.simpleString()
+    runs = settle(rows.mapInArrow(_local_runs(column), f"_part int, _n bigint, val {kind}, run_len bigint"), "runs")
+    ends = runs.groupBy("_part").agg(F.count("*").alias("_runs"), F.min_by(F.struct("val"), "_n").alias("_head"), F.max_by(F.struct("val"), "_n").alias("_tail"))
+    by_part = Window.orderBy("_part")  # one row per partition
+    joins = (F.lag("_tail").over(by_part).isNotNull() & F.lag("_tail").over(by_part)["val"].eqNullSafe(F.col("_head")["val"])).cast("bigint")
+    borders = ends.withColumn("_joins", joins).select("_part", (F.sum(F.col("_runs") - F.col("_joins")).over(by_part) - F.col("_runs")).alias("_off"))
+    # a part's first run has number _off + 1, or that of the run it joins, which is _off as well
+    return runs.join(F.broadcast(borders), "_part").groupBy((F.col("_off") + F.col("_n") + 1).alias("run_id")).agg(F.first("val").alias("val"), F.sum("run_len").alias("run_len"))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
