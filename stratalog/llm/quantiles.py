@@ -27,6 +27,8 @@ from stratalog.session import settle
 K = 400
 SHRINK = 2 / 3
 SMALLEST = 8
+#: Rows that a split groups at once.
+TAKE_ROWS = 200_000
 #: Parts over which a group's sketches are spread for the first merge.
 FAN_OUT = 64
 
@@ -40,7 +42,14 @@ class Sketch:
     def __init__(self, k: int = K, seed: int = 0):
         self.k, self.n, self.low, self.high = k, 0, np.inf, -np.inf
         self.levels: list[np.ndarray] = [np.zeros(0)]
-        self.rng = np.random.default_rng(seed)
+        self.seed, self._rng = seed, None
+
+    @property
+    def rng(self) -> np.random.Generator:
+        """Made at the first compaction; most sketches of small groups never need one."""
+        if self._rng is None:
+            self._rng = np.random.default_rng(self.seed)
+        return self._rng
 
     def capacity(self, level: int) -> int:
         return max(SMALLEST, int(np.ceil(self.k * SHRINK ** (len(self.levels) - 1 - level))))
@@ -66,6 +75,8 @@ class Sketch:
 
     def _compact(self) -> None:
         """While the sketch is over its size, compact the lowest full level."""
+        if len(self.levels) == 1 and self.levels[0].size <= self.k:
+            return
         while sum(x.size for x in self.levels) > sum(self.capacity(i) for i in range(len(self.levels))):
             i = next(i for i, x in enumerate(self.levels) if x.size > self.capacity(i))
             if i + 1 == len(self.levels):
@@ -111,17 +122,37 @@ def _sketch_split(groups: list[str], k: int):
         import pyarrow as pa
 
         found: dict[tuple, Sketch] = {}
-        for b in batches:
-            x = b.to_pandas()
-            for key, g in x.groupby(groups, dropna=False, sort=False):
+
+        def take(kept):
+            x = pa.Table.from_batches(kept).to_pandas()
+            number = x.groupby(groups, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            values = x["value"].to_numpy(np.float64)[order]
+            cuts = np.flatnonzero(np.diff(number[order])) + 1
+            firsts = x[groups].iloc[order[np.concatenate(([0], cuts))]]
+            for key, part in zip(firsts.itertuples(index=False, name=None), np.split(values, cuts), strict=True):
                 key = tuple(None if pd.isna(v) else v for v in key)
                 if key not in found:
                     found[key] = Sketch(k, zlib.crc32(repr(key).encode()))
-                found[key].update(g["value"].to_numpy(np.float64))
+                found[key].update(part)
+
+        kept, size, kinds = [], 0, {}
+        for b in batches:
+            kinds = kinds or {g: b.schema.field(g).type for g in groups}
+            if b.num_rows:
+                kept.append(b)
+                size += b.num_rows
+            if size >= TAKE_ROWS:
+                take(kept)
+                kept, size = [], 0
+        if kept:
+            take(kept)
+        if not found:
+            return
         items = list(found.items())
         for i in range(0, len(items), 2000):
             part = items[i : i + 2000]
-            columns = [pa.array([key[c] for key, _ in part], b.schema.field(name).type) for c, name in enumerate(groups)]
+            columns = [pa.array([key[c] for key, _ in part], kinds[name]) for c, name in enumerate(groups)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([s.n for _, s in part], pa.int64()), pa.array([s.to_bytes() for _, s in part], pa.binary())], [*groups, "n", "sketch"])
 
     return run
