@@ -79,8 +79,11 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Give an input of very few splits (a single small file) one partition per core before costly per-row work.
 
-    An input of ordinary size already has more splits than cores and is left where it is: no shuffle.
+    An input of ordinary size already has more splits than cores and is left where it is: no shuffle. So is one that is
+    shuffled anyway, as counting its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = int(df.sparkSession.sparkContext.defaultParallelism)
     splits = df.rdd.getNumPartitions()
     return df if splits * 2 > cores else df.repartition(cores)
