@@ -126,3 +126,15 @@ def test_stream_batches_are_taken_once(spark):
 def test_generator_repeats(spark):
     a, b = generate.transactions(spark, 500), generate.transactions(spark, 500)
     assert rows(a) == rows(b) and a.count() == 500 and a.where("region IS NULL OR amount < 10 OR amount > 5000 OR units < 1 OR units > 100").count() == 0
+
+
+def test_windows_of_a_stream_drop_what_is_too_late(spark):
+    source, mark = new_path(spark, "events"), new_path(spark, "mark")
+    kind = "ts timestamp_ntz, k string, v bigint"
+    for batch in ([("2024-01-01 00:10:00", "a", 1), ("2024-01-01 00:50:00", "a", 2)], [("2024-01-01 05:00:00", "a", 4)], [("2024-01-01 00:20:00", "a", 8), ("2024-01-01 05:30:00", "b", 16)], [("2024-01-01 09:00:00", "a", 32)]):
+        spark.createDataFrame(batch, "t string, k string, v bigint").selectExpr("CAST(t AS TIMESTAMP_NTZ) AS ts", "k", "v").coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.file_stream(spark, source, kind, 1)
+        query = ingest.windowed_totals(stream, "ts", "1 hour", "1 hour", ["k"], "v").writeStream.outputMode("append").format("parquet").option("path", f"{source}-out").option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r["window_start"].hour, r["k"], r["n"], r["total"]) for r in spark.read.parquet(f"{source}-out").collect())
+    assert got == [(0, "a", 2, 3), (5, "a", 1, 4), (5, "b", 1, 16)]
