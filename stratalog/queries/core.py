@@ -414,7 +414,10 @@ def show_tables(spark, d):
     return engine.execute("SHOW TABLES").rows
 
 
-@query()
+_COLUMNS = "('o_orderkey', 'INT64', TRUE), ('o_custkey', 'INT64', FALSE), ('o_orderstatus', 'STRING', FALSE), ('o_totalprice', 'DOUBLE', FALSE), ('o_orderdate', 'TIMESTAMP', FALSE), ('o_orderpriority', 'STRING', FALSE)"
+
+
+@query(f"SELECT column_name, data_type, TRUE AS nullable, 'NONE' AS compression, primary_key FROM (VALUES {_COLUMNS}) AS t(column_name, data_type, primary_key)")
 def describe_table(spark, d):
     engine = _engine(spark)
     engine.create_table(_schema(table(spark, d, "orders"), "orders", "o_orderkey"))
