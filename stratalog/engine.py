@@ -115,7 +115,7 @@ class Engine:
 
     def _request(self, s: sql.Statement) -> router.QueryRequest | None:
         own = [n for n in s.tables if self.catalog.exists(n)]
-        return sql.request_of(s, self.catalog.get(own[0])) if len(own) == 1 else None
+        return sql.request_of(s, self.catalog.get(own[0])) if len(own) == 1 and sql.reads(s.plan) == 1 else None
 
     def _typed_key(self, store: TableStore, text):
         kind = store.schema.column(store.key).type.simpleString()
