@@ -117,20 +117,9 @@ class Engine:
         own = [n for n in s.tables if self.catalog.exists(n)]
         return sql.request_of(s, self.catalog.get(own[0])) if len(own) == 1 and sql.reads(s.plan) == 1 else None
 
-    def _typed_key(self, store: TableStore, text):
-        kind = store.schema.column(store.key).type.simpleString()
-        if kind in ("bigint", "int"):
-            try:
-                value = float(text)
-            except ValueError:
-                return None
-            return int(value) if value == int(value) else None
-        return float(text) if kind in ("double", "float") else text if kind == "string" else None
-
     def _point(self, request: router.QueryRequest) -> DataFrame:
         store = self.store(request.table)
-        key = self._typed_key(store, request.key)
-        return store.read() if key is None else store.read(store.files_for_key(key))
+        return store.read(store.files_for_key(request.key))
 
     def _insert(self, s: sql.Statement) -> Result:
         schema = self.catalog.get(s.table)
@@ -142,15 +131,14 @@ class Engine:
         return Result(affected=n, message=f"{n} row(s) inserted")
 
     def _matching(self, s: sql.Statement) -> tuple[TableStore, DataFrame]:
-        text = sql.condition(s)
-        if text is None:
+        condition = sql.condition(s)
+        if condition is None:
             raise InvalidArgument(f"{s.kind} needs a WHERE condition")
         store = self.store(s.table)
-        key = sql.key_equality(text, store.key)
-        typed = None if key is None else self._typed_key(store, key)
-        rows = store.read() if typed is None else store.read(store.files_for_key(typed))
+        key = sql.key_equality(condition, store.schema)
+        rows = store.read() if key is None else store.read(store.files_for_key(key))
         self._register([n for n in s.tables if n != s.table])
-        return store, rows.alias(s.table).where(F.expr(text))
+        return store, rows.alias(s.table).where(F.expr(condition.sql()))
 
     def _update(self, s: sql.Statement) -> Result:
         schema = self.catalog.get(s.table)

@@ -44,3 +44,30 @@ def test_a_condition_that_is_not_of_the_scan_prunes_nothing(engine):
 def test_a_point_lookup_reads_only_its_files(engine):
     for text in ("SELECT x FROM t WHERE id = 5", "SELECT x FROM t s WHERE 5 = id ORDER BY x LIMIT 3"):
         assert got(engine, text) == [(20,)] and files(engine, text) == 1 and "POINT_LOOKUP" in engine.explain(text)
+
+
+BIG = 9007199254740993  # 2^53 + 1, no float
+
+
+def test_a_large_key_is_found_changed_and_removed(engine):
+    assert engine.execute("CREATE TABLE big (id BIGINT PRIMARY KEY, v STRING)").ok
+    assert engine.execute(f"INSERT INTO big VALUES ({BIG}, 'old')").ok and engine.execute("INSERT INTO big VALUES (1, 'x')").ok
+    for literal in (BIG, f"{BIG}.0", f"'{BIG}'"):
+        assert got(engine, f"SELECT v FROM big WHERE id = {literal}") == [("old",)]
+    assert files(engine, f"SELECT v FROM big WHERE id = {BIG}") == 1
+    assert len(got(engine, f"SELECT v FROM big WHERE id = {BIG - 1}D")) == 1  # a double stands for several keys
+    assert engine.execute(f"UPDATE big SET v = 'new' WHERE id = {BIG}").affected == 1
+    assert got(engine, f"SELECT v FROM big WHERE id = {BIG}") == [("new",)]
+    assert engine.execute(f"DELETE FROM big WHERE {BIG} = id").affected == 1
+    assert got(engine, "SELECT id FROM big") == [(1,)]
+
+
+def test_what_is_no_literal_of_the_key_reads_all_files(engine):
+    assert engine.execute("CREATE TABLE s (k STRING PRIMARY KEY, v STRING)").ok
+    for values in (r"('a', 'a')", r"('b\\c', 'x')", "('07', 'y')"):
+        assert engine.execute(f"INSERT INTO s VALUES {values}").ok
+    assert got(engine, "SELECT k FROM s WHERE k = v") == [("a",)]
+    assert got(engine, "SELECT k FROM s WHERE k = 'a'") == [("a",)] and files(engine, "SELECT k FROM s WHERE k = 'a'") == 1
+    assert engine.execute(r"UPDATE s SET v = 'z' WHERE k = 'b\\c'").affected == 1
+    assert got(engine, r"SELECT v FROM s WHERE k = 'b\\c'") == [("z",)]
+    assert engine.execute("DELETE FROM s WHERE k = v").affected == 1
