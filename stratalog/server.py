@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import io
 import json
+import shutil
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from typing import IO, NamedTuple
 
 from stratalog import __version__, types
 from stratalog.engine import Engine
 from stratalog.errors import EngineError, InvalidArgument, NotFound
-from stratalog.formatting import envelope, result_data
+from stratalog.formatting import envelope, spooled_envelope
+
+
+class Spooled(NamedTuple):
+    """A finished answer in a file."""
+
+    file: IO[bytes]
 
 
 def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
@@ -20,16 +29,25 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             pass
 
         def _send(self, status: int, body: str) -> None:
-            data = body.encode()
+            self._send_file(status, io.BytesIO(body.encode()))
+
+        def _send_file(self, status: int, body: IO[bytes]) -> None:
+            size = body.seek(0, io.SEEK_END)
+            body.seek(0)
             self.send_response(status)
-            for k, v in (("Content-Type", "application/json"), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type")):
+            for k, v in (("Content-Type", "application/json"), ("Content-Length", str(size)), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type")):
                 self.send_header(k, v)
             self.end_headers()
-            self.wfile.write(data)
+            shutil.copyfileobj(body, self.wfile)
 
         def _answer(self, work) -> None:
             try:
-                self._send(200, envelope(work()))
+                found = work()
+                if isinstance(found, Spooled):
+                    with found.file as f:
+                        self._send_file(200, f)
+                else:
+                    self._send(200, envelope(found))
             except NotFound as e:
                 self._send(404, envelope(error=e))
             except EngineError as e:
@@ -56,7 +74,7 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
                     result = engine.execute(self._statement())
                     if result.error:
                         raise result.error
-                    return result_data(result)
+                    return Spooled(spooled_envelope(result))
 
             routes = {
                 "/api/query": query,

@@ -7,7 +7,7 @@ from typing import TextIO
 
 from stratalog.engine import Engine
 from stratalog.errors import EngineError
-from stratalog.formatting import text_table
+from stratalog.formatting import write_table
 
 HELP = "\\d [table]  tables or a table's columns\n\\s  status\n\\h  this help\n\\q  quit\nEnd a statement with ;"
 
@@ -40,5 +40,5 @@ def run(engine: Engine, source: TextIO = sys.stdin, out: TextIO = sys.stdout) ->
         while ";" in buffer:
             statement, buffer = buffer.split(";", 1)
             if statement.strip():
-                print(text_table(engine.execute(statement)), file=out)
+                write_table(engine.execute(statement), out)
         buffer = buffer.lstrip() if not buffer.strip() else buffer
