@@ -6,8 +6,9 @@ made for, a layer of twice the size and half the error rate is added, so the cha
 
 Rows travel as a 64-bit hash and a record number. Before the shuffle each input split reduces its records to the first one
 of each key; the others are certainly seen, so a key with any share of all rows reaches its shard once per split. Shards are
-read as sorted streams, a batch at a time: memory is the chain's, not the shard's. Repeats inside a batch are found exactly,
-the chain answers for everything before it; so the measured error lies below the chain's, most of all on small inputs.
+read as sorted streams, a batch at a time: memory is the chain's, not the shard's. The chain takes a batch in blocks of at
+most a sixteenth of the keys it holds. Repeats inside a block are found exactly, the chain answers for everything before it; so
+each key is asked of nearly the chain that a key at a time would meet, on small inputs too.
 
 The chain never misses a seen key. What it calls seen is checked exactly afterwards (only those records), which also measures
 the rate of wrong answers.
@@ -29,6 +30,8 @@ from stratalog.session import parallelism, settle
 ERROR_RATE = 0.01
 FIRST_LAYER = 1024
 GROWTH, TIGHTENING = 2, 0.5
+#: Keys are asked of the chain and added to it in blocks of this share of the keys it holds, and of so many at least.
+BLOCK_SHARE, LEAST_BLOCK = 1 / 16, 16
 HISTORY, RECORD = 0, 1
 #: Keys that a shard should take about; its chain is then about 8 MB.
 KEYS_PER_SHARD = 4_000_000
@@ -80,7 +83,15 @@ class BloomChain:
 
     def seen_then_add(self, hashes: np.ndarray) -> np.ndarray:
         """For each 64-bit hash in order: seen before (in earlier calls, or earlier in this one)?"""
-        h = hashes.astype(np.int64).view(np.uint64)
+        h, out, at = hashes.astype(np.int64).view(np.uint64), [], 0
+        while at < h.size:
+            block = max(LEAST_BLOCK, int(sum(x.count for x in self.layers) * BLOCK_SHARE))
+            out.append(self._block(h[at : at + block]))
+            at += block
+        return np.concatenate(out) if out else np.zeros(0, bool)
+
+    def _block(self, h: np.ndarray) -> np.ndarray:
+        """The same for a block, in which repeats are found exactly."""
         _, first = np.unique(h, return_index=True)
         seen = np.ones(h.size, bool)
         first.sort()
