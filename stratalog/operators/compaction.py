@@ -12,7 +12,8 @@ by several inputs is kept once, from the smallest record id.
 Planning is split into shards of SHARD_FILES files by a hash of their paths, so no task sees more than that at once.
 
 Defined results: a file's counting registration is its latest (of equal times the greatest row). Size is file_size if
-positive, else the end of its last index block, else 0. Files without records still take part, with the records they
+positive, else the end of its last index block, else 0; a file of size 0 is planned, not chosen, by its entries times the
+mean bytes of an entry in the other small files. Files without records still take part, with the records they
 have (none). Null keys are a key of their own. Registered files that are not live are left alone. An empty registry plans nothing.
 """
 
@@ -32,6 +33,8 @@ TARGET_BYTES = 4 << 20
 #: Each tier holds files up to this many times the size of the one below.
 FAN_OUT = 4
 SHARD_FILES = 50_000
+#: Bytes of an entry where no small file has both a size and a count of entries.
+ENTRY_BYTES = 1024
 
 
 def sized_files(meta: DataFrame, index: DataFrame) -> DataFrame:
@@ -53,12 +56,24 @@ def tiers(below: int = SMALL_BYTES, target: int = TARGET_BYTES) -> list[int]:
     return out
 
 
-def plan_merges(small: DataFrame, target: int = TARGET_BYTES, below: int = SMALL_BYTES, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(assignment, journal): file_path -> output, and one row per merge with its inputs, output, tier and bytes."""
-    base = small.select("file_path", F.greatest("size", F.lit(1)).alias("bytes"))
+def with_entries(small: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Small files with ``n``, the entries by the registry; of a file of size 0 also those it holds, if that is more."""
+    files = small.select("file_path", "size", (F.greatest("entry_count", F.lit(0)) if "entry_count" in small.columns else F.lit(0)).cast("bigint").alias("n"))
+    if entries is None:
+        return files
+    unsized = files.where("size = 0").select("file_path")
+    held = entries.join(unsized, "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("held"))
+    return files.join(held, "file_path", "left").select("file_path", "size", F.greatest("n", "held").alias("n"))
+
+
+def plan_merges(small: DataFrame, target: int = TARGET_BYTES, below: int = SMALL_BYTES, shards: int | None = None, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(assignment, journal): file_path -> output, and one row per merge with its inputs, output, tier and bytes as planned."""
     if shards is None:
         shards = max(1, -(-small.count() // SHARD_FILES))
-    units = settle(base.withColumn("shard", F.pmod(F.xxhash64("file_path"), F.lit(shards)).cast("int")).select("shard", F.col("file_path").alias("unit"), "bytes"), "compaction-files")
+    files = settle(with_entries(small, entries).withColumn("shard", F.pmod(F.xxhash64("file_path"), F.lit(shards)).cast("int")), "compaction-files")
+    mean = files.where("size > 0 AND n > 0").agg((F.sum("size") / F.sum("n")).alias("b")).first()["b"] or ENTRY_BYTES
+    weight = F.when(F.col("size") > 0, F.col("size")).otherwise(F.ceil(F.col("n") * F.lit(float(mean))))
+    units = files.select("shard", F.col("file_path").alias("unit"), F.greatest(weight, F.lit(1)).cast("bigint").alias("bytes"))
     bounds, moves, journal = tiers(below, target), [], []
     for tier, bound in enumerate(bounds):
         last = tier == len(bounds) - 1
@@ -76,7 +91,7 @@ def plan_merges(small: DataFrame, target: int = TARGET_BYTES, below: int = SMALL
         units = merged.select("shard", F.col("output").alias("unit"), "bytes")
         if above is not None:
             units = units.unionByName(above)
-    where = base.select("file_path", F.col("file_path").alias("unit"))
+    where = files.select("file_path", F.col("file_path").alias("unit"))
     for move in moves:
         where = where.join(move, "unit", "left").select("file_path", F.coalesce("output", "unit").alias("unit"))
     log = journal[0]
@@ -128,6 +143,6 @@ def compact(meta: DataFrame, index: DataFrame, entries: DataFrame, path: str | N
     """(merged records, merges) of all files that are too small, through a committed transaction."""
     spark = meta.sparkSession
     path = path or new_path(spark, "compaction")
-    assignment, journal = plan_merges(small_files(sized_files(meta, index)))
+    assignment, journal = plan_merges(small_files(sized_files(meta, index)), entries=entries)
     commit = Compactor(spark, path).run(entries, assignment, journal)
     return spark.read.parquet(commit["records"]), spark.read.parquet(commit["merges"])
