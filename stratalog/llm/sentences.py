@@ -33,8 +33,6 @@ GOES_ON, COHESION = 0.25, 0.3
 STARTER_SHARE = 0.3
 #: The lists are learned from sure ends, then again from all ends that the first lists leave.
 ROUNDS = 2
-#: Periods after which a single letter that was not learned as an abbreviation is an ordinary word.
-KNOWN_LETTER = 20
 LONGEST_TYPE = 14
 DIFF = "diff --git "
 
@@ -353,6 +351,13 @@ def likelihood_ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when(p1 > p2, ratio).otherwise(-ratio)
 
 
+def shortfall(k: Column, n: Column, share: float) -> Column:
+    """The likelihood ratio of a rate against a share that it lies below; 0 where it does not."""
+    p = k / n
+    left = F.when(k > 0, k * F.log(p / share)).otherwise(0.0)
+    return F.when((n > 0) & (p < share), 2 * (left + (n - k) * F.log((1 - p) / (1 - share)))).otherwise(0.0)
+
+
 def learn(messages: DataFrame) -> DataFrame:
     """(lang, kind, a, b): the lists learned from (message, lang)."""
     counts = settle(messages.select("message", "lang").mapInArrow(_count, "lang string, a string, b string, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "sentence-counts")
@@ -410,8 +415,9 @@ def learn(messages: DataFrame) -> DataFrame:
         .join(F.broadcast(pairs.where("a IN ('#!', '#id')").groupBy("lang").agg(F.sum(F.when(c("b") == "##", c("n")).otherwise(0)).alias("k2"), F.sum("n").alias("n2"))), "lang")
         .where((likelihood_ratio(c("n"), c("n1"), c("k2"), c("n2")) >= LLR) & (c("n") / c("n1") >= 0.5)).select("lang", F.lit("collocation").alias("kind"), "a", "b")
     )
-    # single letters count as abbreviations until enough periods say otherwise
-    ordinary = left.where((F.length("a") == 1) & (c("n1") >= KNOWN_LETTER)).join(abbreviations.select("lang", "a"), ["lang", "a"], "left_anti").select("lang", F.lit("ordinary").alias("kind"), "a", F.lit("").alias("b"))
+    # a single letter counts as an abbreviation unless a share that abbreviations need is too low to be chance
+    against = F.greatest(shortfall(c("on"), c("per"), GOES_ON), shortfall(c("per"), c("per") + c("without"), COHESION))
+    ordinary = types.where((F.length("a") == 1) & (against >= LLR)).join(abbreviations.select("lang", "a"), ["lang", "a"], "left_anti").select("lang", F.lit("ordinary").alias("kind"), "a", F.lit("").alias("b"))
     collocations = collocations.unionByName(figures).unionByName(ordinary)
     return starters.select("lang", F.lit("starter").alias("kind"), c("w").alias("a"), F.lit("").alias("b")).unionByName(abbreviations).unionByName(collocations)
 
