@@ -27,6 +27,8 @@ class TableSchema:
     columns: list[ColumnSpec]
     primary_key: str = ""
     incarnation: str = field(default="")
+    #: Do writes bring an order value of their own (see TableStore)?
+    ordered: bool = False
 
     def __post_init__(self):
         self.name = self.name.lower()
@@ -50,11 +52,11 @@ class TableSchema:
 
     def to_json(self) -> dict:
         columns = [{"name": c.name, "type": types.type_name(c.type), "nullable": c.nullable, "compression": c.compression} for c in self.columns]
-        return {"name": self.name, "primary_key": self.primary_key, "incarnation": self.incarnation, "columns": columns}
+        return {"name": self.name, "primary_key": self.primary_key, "incarnation": self.incarnation, "ordered": self.ordered, "columns": columns}
 
     @classmethod
     def from_json(cls, d: dict) -> TableSchema:
-        return cls(d["name"], [ColumnSpec(c["name"], types.parse_type(c["type"]), c["nullable"], c.get("compression", "NONE")) for c in d["columns"]], d["primary_key"], d.get("incarnation", ""))
+        return cls(d["name"], [ColumnSpec(c["name"], types.parse_type(c["type"]), c["nullable"], c.get("compression", "NONE")) for c in d["columns"]], d["primary_key"], d.get("incarnation", ""), d.get("ordered", False))
 
 
 class Catalog:

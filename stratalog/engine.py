@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from dataclasses import dataclass
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.catalog import Catalog, TableSchema
-from stratalog.errors import EngineError, FailedPrecondition, Internal, InvalidArgument, Unimplemented
+from stratalog.errors import Aborted, EngineError, FailedPrecondition, Internal, InvalidArgument, Unimplemented
 from stratalog.functions.rows import conform
 from stratalog.operators import merge
 from stratalog.plans import router, sql
 from stratalog.session import ship
-from stratalog.sources.store import TableStore
+from stratalog.sources.store import ATTEMPTS, TableStore
 
 
 @dataclass
@@ -40,6 +41,8 @@ class Engine:
         self.catalog = Catalog(spark, self.path)
         self.router = router.Router(columnar_threshold)
         self.paused = False
+        self._views = threading.RLock()
+        self.started = time.time()
 
     # tables -------------------------------------------------------------------------------------------------------
 
@@ -98,57 +101,72 @@ class Engine:
     def _register(self, names: list[str]) -> None:
         for name in names:
             if self.catalog.exists(name):
-                self.table(name).createOrReplaceTempView(name)
+                self.router.plan(router.QueryRequest.full(name), self.store(name)).frame().createOrReplaceTempView(name)
 
     def _select(self, s: sql.Statement) -> Result:
         for name in s.tables:
             if not self.catalog.exists(name) and name not in _ctes(s.text):
                 self.catalog.get(name)
         request = self._request(s)
-        if request and request.kind == router.POINT:
-            # the files that can hold the key are known before planning
-            self._point(request).createOrReplaceTempView(request.table)
-            self._register([n for n in s.tables if n != request.table])
-        else:
-            self._register(s.tables)
-        return Result(rows=self.spark.sql(s.text))
+        with self._views:  # names of views are the session's: the statement is analysed before another one gives them new meaning
+            if request:
+                # the files that can hold wanted keys are known before planning
+                self.router.plan(request, self.store(request.table)).frame().createOrReplaceTempView(request.table)
+                self._register([n for n in s.tables if n != request.table])
+            else:
+                self._register(s.tables)
+            return Result(rows=self.spark.sql(s.text))
 
     def _request(self, s: sql.Statement) -> router.QueryRequest | None:
         own = [n for n in s.tables if self.catalog.exists(n)]
         return sql.request_of(s, self.catalog.get(own[0])) if len(own) == 1 and sql.reads(s.plan) == 1 else None
 
-    def _point(self, request: router.QueryRequest) -> DataFrame:
-        store = self.store(request.table)
-        return store.read(store.files_for_key(request.key))
-
     def _insert(self, s: sql.Statement) -> Result:
         schema = self.catalog.get(s.table)
-        self._register(sql.relations(s.plan.query()))
-        rows, named = sql.insert_rows(self.spark, s)
+        with self._views:
+            self._register(sql.relations(s.plan.query()))
+            rows, named = sql.insert_rows(self.spark, s)
         rows = conform(rows.toDF(*[f"_v{i}" for i in range(len(rows.columns))]), schema, named or [c.name for c in schema.columns])
         n = self.store(s.table).put(rows)
         self._after_write(s.table)
         return Result(affected=n, message=f"{n} row(s) inserted")
 
-    def _matching(self, s: sql.Statement) -> tuple[TableStore, DataFrame]:
+    def _matching(self, s: sql.Statement) -> tuple[TableStore, DataFrame, int]:
+        """The store, the rows that the condition names, and the version they were read from."""
         condition = sql.condition(s)
         if condition is None:
             raise InvalidArgument(f"{s.kind} needs a WHERE condition")
         store = self.store(s.table)
-        key = sql.key_equality(condition, store.schema)
-        rows = store.read() if key is None else store.read(store.files_for_key(key))
+        version = store.version()
+        bounds = sql.bounds_of(condition, store.schema)
+        files = [f for f in store.files(store.manifest(version)) if bounds.holds(f)]
+        rows = store.read(files, few=bounds.keys is not None and len(bounds.keys) * len(files) <= self.router.threshold)
         self._register([n for n in s.tables if n != s.table])
-        return store, rows.alias(s.table).where(F.expr(condition.sql()))
+        return store, rows.alias(s.table).where(F.expr(condition.sql())), version
+
+    def _retried(self, change) -> Result:
+        """Run a change that reads before it writes; if another commit came in between it is computed anew."""
+        for attempt in range(ATTEMPTS):
+            try:
+                with self._views:
+                    return change()
+            except Aborted:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise Internal("unreachable")
 
     def _update(self, s: sql.Statement) -> Result:
+        return self._retried(lambda: self._update_once(s))
+
+    def _update_once(self, s: sql.Statement) -> Result:
         schema = self.catalog.get(s.table)
-        store, rows = self._matching(s)
+        store, rows, version = self._matching(s)
         changes = {schema.column(c.split(".")[-1].strip("`")).name: F.expr(v) for c, v in sql.assignments(s)}
         key = store.key
         old = F.col(key).alias("_old")
         new = conform(rows.select(*(changes.get(c.name, F.col(c.name)).alias(c.name) for c in schema.columns)), schema)
         if key not in changes:
-            n = store.put(new)
+            n = store.commit(new, since=version)
         else:
             # a changed key leaves a tombstone under the old one; both go in one commit
             if rows.select(changes[key].alias("k")).groupBy("k").count().where("count > 1").limit(1).count():
@@ -158,13 +176,16 @@ class Engine:
             taken = new.join(store.read().select(key), key, "left_semi").join(rows.select(key), key, "left_anti").limit(1).count()
             if taken:
                 raise FailedPrecondition("the new key is taken by another row")
-            store.commit(gone.unionByName(new.withColumn(merge.DELETED, F.lit(False))))
+            store.commit(gone.unionByName(new.withColumn(merge.DELETED, F.lit(False))), since=version)
         self._after_write(s.table)
         return Result(affected=n, message=f"{n} row(s) updated" if n else "0 rows matching WHERE condition")
 
     def _delete(self, s: sql.Statement) -> Result:
-        store, rows = self._matching(s)
-        n = store.delete(rows.select(store.key))
+        return self._retried(lambda: self._delete_once(s))
+
+    def _delete_once(self, s: sql.Statement) -> Result:
+        store, rows, version = self._matching(s)
+        n = store.delete(rows.select(store.key), since=version)
         self._after_write(s.table)
         return Result(affected=n, message=f"{n} row(s) deleted" if n else "0 rows matching WHERE condition")
 
@@ -203,15 +224,18 @@ class Engine:
 
     def run_request(self, request: router.QueryRequest) -> DataFrame:
         """Build the DataFrame of a request by its plan."""
-        store = self.store(request.table)
-        if request.kind == router.POINT:
-            return store.get(request.key)
-        if request.kind == router.RANGE:
-            df = store.range(request.low, request.high)
-        elif request.kind == router.PREFIX:
-            df = store.prefix(request.prefix)
-        else:
-            df = store.read()
+        plan = self.router.plan(request, self.store(request.table))
+        key, df = F.col(plan.store.key), plan.frame()
+        if request.key is not None:
+            df = df.where(key == F.lit(request.key))
+        if request.keys is not None:
+            df = df.where(key.isin(request.keys))
+        if request.low is not None:
+            df = df.where(key >= F.lit(request.low))
+        if request.high is not None:
+            df = df.where(key <= F.lit(request.high))
+        if request.prefix:
+            df = df.where(key.cast("string").startswith(request.prefix))
         df = df.where(request.filter) if request.filter else df
         if request.kind == router.AGGREGATION:
             return df.selectExpr(request.aggregate)
@@ -223,7 +247,10 @@ class Engine:
         if self.auto_compact and not self.paused:
             store = self.store(table)
             if (level := store.due()) is not None:
-                store.compact(level)
+                try:
+                    store.compact(level)
+                except Aborted:
+                    pass  # another writer compacted these files; the next write looks again
 
     def compact(self, table: str | None = None) -> dict:
         """Push each table's rows into one level; statistics by table."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import shutil
-import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import IO, NamedTuple
 
@@ -15,6 +15,16 @@ from stratalog.errors import EngineError, InvalidArgument, NotFound
 from stratalog.formatting import envelope, spooled_envelope
 
 
+#: What a console may offer.
+CAPABILITIES = {
+    "supportedStatements": ["CREATE TABLE", "DROP TABLE", "SHOW TABLES", "DESCRIBE", "INSERT", "UPDATE", "DELETE", "SELECT", "EXPLAIN"],
+    "supportedTypes": sorted(types.ALIASES),
+    "supportedAggregations": ["AVG", "COUNT", "MAX", "MIN", "SUM", "and every aggregate of Spark SQL"],
+    "supportedWhereOps": ["=", "<>", "!=", "<", ">", "<=", ">=", "AND", "OR", "NOT", "IN", "BETWEEN", "LIKE", "IS NULL", "EXISTS"],
+    "features": ["keyed tables with atomic commits", "merge on read", "compaction", "key and range pruning", "streaming ingest", "joins, windows and subqueries"],
+}
+
+
 class Spooled(NamedTuple):
     """A finished answer in a file."""
 
@@ -22,8 +32,6 @@ class Spooled(NamedTuple):
 
 
 def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
-    lock = threading.Lock()  # statements that change tables run one at a time
-
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *args) -> None:
             pass
@@ -70,11 +78,11 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
 
         def do_POST(self) -> None:  # noqa: N802
             def query():
-                with lock:
-                    result = engine.execute(self._statement())
-                    if result.error:
-                        raise result.error
-                    return Spooled(spooled_envelope(result))
+                # changes are optimistic commits, so statements run side by side
+                result = engine.execute(self._statement())
+                if result.error:
+                    raise result.error
+                return Spooled(spooled_envelope(result))
 
             routes = {
                 "/api/query": query,
@@ -96,8 +104,8 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
                 {
                     "/api/tables": lambda: engine.catalog.names(),
                     "/api/status": engine.stats,
-                    "/api/health": lambda: {"status": "healthy"},
-                    "/api/info": lambda: {"name": "stratalog", "version": __version__, "types": sorted(types.ALIASES)},
+                    "/api/health": lambda: {"status": "ok", "uptime_seconds": int(time.time() - engine.started), "version": __version__, "engine": "stratalog"},
+                    "/api/info": lambda: {"version": __version__, "engine": "stratalog"} | CAPABILITIES,
                 }
             )
 

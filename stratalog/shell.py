@@ -19,7 +19,7 @@ def command(engine: Engine, line: str) -> str | None:
         if name == "\\q":
             return None
         if name == "\\d":
-            return engine.catalog.describe(rest[0])._show_string(100, False) if rest else "\n".join(engine.catalog.names()) or "no tables"
+            return engine.catalog.describe(rest[0])._show_string(len(engine.catalog.get(rest[0]).columns), False) if rest else "\n".join(engine.catalog.names()) or "no tables"
         if name == "\\s":
             return "\n".join(f"{k}: {v}" for k, v in engine.stats().items())
         return HELP if name == "\\h" else f"unknown command {name}; \\h for help"

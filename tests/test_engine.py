@@ -129,7 +129,7 @@ def test_random_operations_equal_a_dict(engine, spark):
         assert rows(store.get(k)) == ([(k, model[k])] if k in model else [])
     live, dead = store.range_with_tombstones()
     assert dict(rows(live)) == model and not {r[0] for r in rows(dead)} & set(model)
-    page, more = store.page(after=4, limit=3)
+    page, more, last = store.page(after=4, limit=3)
     assert [r[0] for r in page.collect()] == sorted(k for k in model if k > 4)[:3] and more == (len([k for k in model if k > 4]) > 3)
     assert [r[0] for r in store.iterate(0, 9)] == sorted(k for k in model if k <= 9)
 
@@ -144,8 +144,11 @@ def test_levels_and_plans(engine, spark):
     assert store.due() == 0
     request = router.QueryRequest
     plans = {r.kind: engine.router.plan(r, store) for r in (request.point("lv", "a"), request.range("lv", "a", "b"), request.full("lv"), request.aggregation("lv", "count(*)"))}
-    assert [plans[k].cost for k in (router.POINT, router.RANGE, router.FULL, router.AGGREGATION)] == [3.0, 4.0, 7.0, 4.9]
-    assert plans[router.POINT].merge and "merge on read" in plans[router.FULL].explain()
+    assert [(len(plans[k].files), plans[k].rows, plans[k].skipped) for k in (router.POINT, router.RANGE, router.FULL, router.AGGREGATION)] == [(1, 1, 3), (2, 4, 2), (4, 8, 0), (4, 8, 0)]
+    assert plans[router.POINT].merge and "Merge: in one task" in plans[router.FULL].explain()
+    assert "Exchange" not in plans[router.FULL].frame()._jdf.queryExecution().executedPlan().toString()
+    few = router.Router(threshold=3)
+    assert "4 newer files in parallel over 0 base files" in few.plan(request.full("lv"), store).explain() and few.plan(request.point("lv", "a"), store).path == router.ROW
     stats = store.compact(0)
     assert (stats["entries_in"], stats["entries_out"]) == (8, 8) and store.files_at(0) == []
     assert not engine.router.plan(request.full("lv"), store).merge
@@ -212,6 +215,6 @@ def test_server(engine):
         assert call("/api/status")[1]["data"]["entries"] == 1
         for path in ("/api/admin/flush", "/api/admin/compact", "/api/admin/compact/pause", "/api/admin/compact/resume"):
             assert call(path, {})[0] == 200
-        assert call("/api/health")[1]["data"]["status"] == "healthy" and "BIGINT" in call("/api/info")[1]["data"]["types"]
+        assert call("/api/health")[1]["data"]["status"] == "ok" and "BIGINT" in call("/api/info")[1]["data"]["supportedTypes"]
     finally:
         server.shutdown()

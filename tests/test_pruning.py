@@ -71,3 +71,21 @@ def test_what_is_no_literal_of_the_key_reads_all_files(engine):
     assert engine.execute(r"UPDATE s SET v = 'z' WHERE k = 'b\\c'").affected == 1
     assert got(engine, r"SELECT v FROM s WHERE k = 'b\\c'") == [("z",)]
     assert engine.execute("DELETE FROM s WHERE k = v").affected == 1
+
+
+def test_ranges_prefixes_and_lists_read_only_their_files(engine):
+    for text, ids, n in (
+        ("SELECT id FROM t WHERE id BETWEEN 4 AND 6", [5], 1), ("SELECT id FROM t WHERE id > 4.5 AND x > 0", [5, 9], 2), ("SELECT id FROM t WHERE 2 > id", [1], 1), ("SELECT id FROM t WHERE id IN (1, 9)", [1, 9], 2), ("SELECT id FROM t WHERE id >= 2 AND id < 9 AND id <> 3", [5], 2),
+        ("SELECT id FROM t WHERE id < 2 OR x = 30", [1, 9], 3), ("SELECT id FROM t WHERE NOT id < 2", [5, 9], 3), ("SELECT id FROM t WHERE id IN (1, NULL)", [1], 3),
+    ):
+        assert [r[0] for r in got(engine, text)] == ids and files(engine, text) == n, text
+    assert engine.execute("CREATE TABLE p (k STRING PRIMARY KEY, v INT)").ok
+    for values in ("('aa', 1), ('ac', 2)", "('b', 3), ('bz', 4)", "('c%', 5), ('d', 6)"):
+        assert engine.execute(f"INSERT INTO p VALUES {values}").ok
+    for cond, v, n in (("k LIKE 'a%'", [1, 2], 1), ("k LIKE 'b_'", [4], 1), ("startswith(k, 'c')", [5], 1), ("k LIKE 'c\\\\%'", [5], 3), ("k LIKE '%a'", [1], 3), ("k LIKE 'ab%'", [], 1), ("k LIKE 'x%'", [], 0)):
+        text = f"SELECT v FROM p WHERE {cond}"
+        assert [r[0] for r in got(engine, text)] == v and files(engine, text) == n, text
+    assert "PREFIX_SCAN" in engine.explain("SELECT v FROM p WHERE k LIKE 'a%'") and "2 skipped" in engine.explain("SELECT v FROM p WHERE k LIKE 'a%'")
+    assert engine.execute("UPDATE p SET v = 0 WHERE k LIKE 'a%'").affected == 2
+    assert engine.execute("DELETE FROM p WHERE k >= 'b' AND k < 'c'").affected == 2
+    assert [r[0] for r in got(engine, "SELECT v FROM p")] == [0, 0, 5, 6]
