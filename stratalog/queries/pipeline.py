@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.operators import changefeed, compaction, incremental, orphans
-from stratalog.session import table
+from stratalog.session import new_path, table
 
 WAL_FEED = changefeed.Feed(key="entry_key", sequence="sequence_number", operation="operation", arrival="arrival_no", values=["entry_value"])
 
@@ -36,30 +36,46 @@ def p4_per_month(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("order_month").agg(F.count("*").alias("orphans"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The inputs of the planned compaction."""
-    small = compaction.small_files(compaction.sized_files(table(spark, d, "sstable_meta"), table(spark, d, "index_entry")))
-    assignment, _ = compaction.plan_merges(small)
-    return assignment.select("file_path")
+def _compacted(spark: SparkSession, d: str) -> compaction.Compactor:
+    return compaction.compact(table(spark, d, "sstable_meta"), table(spark, d, "index_entry"), table(spark, d, "sstable_entry"))
 
 
-def _compacted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return compaction.compact(table(spark, d, "sstable_meta"), table(spark, d, "index_entry"), table(spark, d, "sstable_entry"))
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the committed merges took."""
+    return _compacted(spark, d).retired()
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    return _compacted(spark, d)[0].select("entry_key", "sequence_number")
+    return _compacted(spark, d).records().select("entry_key", "sequence_number")
 
 
 def p5_journal(spark: SparkSession, d: str) -> DataFrame:
-    return _compacted(spark, d)[1].select("tier", "output", F.size("inputs").alias("inputs"), "bytes")
+    """What the merges took and made, in sums that SQL can check: files taken, their bytes where known, and transactions that occur twice."""
+    done = _compacted(spark, d)
+    sizes = compaction.sized_files(table(spark, d, "sstable_meta"), table(spark, d, "index_entry")).select("file_path", "size")
+    taken = done.retired().join(sizes, "file_path").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    log = done.journal().agg((F.count("*") - F.count_distinct("txn")).alias("repeated_merges"))
+    return taken.crossJoin(log)  # one row each
+
+
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs: one over the registrations of the first half of the time, one over all; every record of the files taken lies in one output once."""
+    meta, index, entries = (table(spark, d, n) for n in ("sstable_meta", "index_entry", "sstable_entry"))
+    half = meta.agg(F.expr("percentile_approx(registered_at, 0.5, 1000)").alias("t")).first()["t"]
+    done = compaction.Compactor(spark, new_path(spark, "compaction"))
+    # only what was registered last counts, so a file that changes later takes no part in the first run
+    late = meta.where(F.col("registered_at") > F.lit(half)).select("file_path").distinct()
+    done.run(meta.join(late, "file_path", "left_anti"), index, entries)
+    done.run(meta, index, entries)
+    again = done.run(meta, index, entries)  # a third run finds nothing left to do
+    return done.records().select("entry_key", "sequence_number", F.lit(again is None).alias("settled"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.next_flush(table(spark, d, "wal_entry"), table(spark, d, "sstable_meta"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_current_values, p4_found, p4_per_month, p5_found, p5_records, p5_journal, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_current_values, p4_found, p4_per_month, p5_found, p5_records, p5_journal, p5_incremental, p6_found)}
 
 _WAL = """
 valid AS (SELECT * FROM wal_entry WHERE sequence_number IS NOT NULL AND entry_key IS NOT NULL AND operation IN (1, 2)),
@@ -81,6 +97,9 @@ SQL = {
     "p4_per_month": f"WITH {_ORPHANS} SELECT order_month, count(*) AS orphans FROM found GROUP BY order_month",
     "p5_found": f"WITH {_SMALL} SELECT file_path FROM small",
     "p5_records": f"WITH {_SMALL} SELECT DISTINCT entry_key, sequence_number FROM sstable_entry WHERE file_path IN (SELECT file_path FROM small)",
+    "p5_journal": f"""WITH {_SMALL}, all_sizes AS (SELECT c.file_path, CASE WHEN file_size > 0 THEN file_size ELSE coalesce(e, 0) END AS size FROM counted c LEFT JOIN ends USING (file_path))
+SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS repeated_merges FROM small JOIN all_sizes USING (file_path)""",
+    "p5_incremental": f"WITH {_SMALL} SELECT DISTINCT entry_key, sequence_number, TRUE AS settled FROM sstable_entry WHERE file_path IN (SELECT file_path FROM small)",
     "p6_found": f"""WITH {_WAL}, {_META},
 arrived AS (SELECT sequence_number, min(arrived_at) AS first_arrival FROM valid GROUP BY sequence_number)
 SELECT sequence_number FROM arrived a WHERE NOT EXISTS (SELECT 1 FROM counted c WHERE c.sst_level = 0 AND c.state <> 'aborted'

@@ -59,3 +59,15 @@ def listing(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[str,
         return []
     found = [(str(s.getPath().toString()), int(s.getLen())) for s in fs.listStatus(p) if s.isFile()]
     return sorted(x for x in found if x[0].endswith(suffix))
+
+
+def listing_below(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[str, int]]:
+    """(full path, bytes) of the files at any depth of ``path``, sorted; [] if there is no such folder."""
+    fs, p = _fs(spark, path), _path(spark, path)
+    if not fs.exists(p):
+        return []
+    found, each = [], fs.listFiles(p, True)
+    while each.hasNext():
+        s = each.next()
+        found.append((str(s.getPath().toString()), int(s.getLen())))
+    return sorted(x for x in found if x[0].endswith(suffix))

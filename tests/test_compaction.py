@@ -48,23 +48,62 @@ def test_every_small_file_gets_one_output_of_good_size(tables):
     assert rows(again) == rows(assignment)
 
 
-def test_records_once_and_transaction_is_idempotent(spark, tables):
+def test_records_once_and_runs_are_idempotent(spark, tables):
     meta, index, entries = tables
     path = new_path(spark, "compaction")
-    records, journal = C.compact(meta, index, entries, path)
+    done = C.compact(meta, index, entries, path)
     want = {(e["entry_key"], e["sequence_number"]) for e in entries.where("file_path <> 'f1' AND file_path <> 'large'").collect()}
-    got = [(r["entry_key"], r["sequence_number"]) for r in records.collect()]
+    records = lambda c: [(r["entry_key"], r["sequence_number"]) for r in c.records().collect()]
+    assert len(records(done)) == len(want) and set(records(done)) == want
+    before = done.commits()
+    again = C.compact(meta, index, entries, path)
+    assert again.commits() == before and len(before) == 1 and len(records(again)) == len(want)
+    assert {r[0] for r in done.retired().collect()} == {f"f{i}" for i in range(200) if i != 1} | {"negative"}
+    # one file per output, as large as the registry says
+    outputs = done.outputs().collect()
+    assert before[0]["files"] == len([o for o in outputs if o["entry_count"]]) and sum(o["entry_count"] for o in outputs) == len(want)
+
+
+def test_a_second_run_moves_only_what_is_new(spark, tables):
+    meta, index, entries = tables
+    path = new_path(spark, "compaction")
+    frame = lambda ids, base: spark.createDataFrame([(base + n, f"n{n}", f"k{n}", n if n != 1 else 0, False, "v", "x") for n in ids] + [(base + 90, "n2", "k5", 5 // 2, False, "other", "x")], ENTRY)
+    done = C.Compactor(spark, path)
+    monkey = C.SMALL_BYTES
+    assert done.run(meta, index, entries, below=monkey)["inputs"] == 200
+    first = {r["file_path"] for r in done.outputs().where("size >= 65536").collect()}
+    more = meta.unionByName(spark.createDataFrame([(f"n{i}", 500, 0, "live", T0, 1, "x") for i in range(3)], META))
+    held = entries.unionByName(frame(range(3), 50_000))
+    small = done.outputs().where("size < 65536").count()
+    commit = done.run(more, index, held)
+    assert commit["inputs"] == 3 + small
+    want = {(e["entry_key"], e["sequence_number"]) for e in held.where("file_path <> 'f1' AND file_path <> 'large'").collect()}
+    got = [(r["entry_key"], r["sequence_number"]) for r in done.records().collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    again, _ = C.compact(meta, index, entries, path)
-    assert set(again.inputFiles()) == set(records.inputFiles())
-    assert len(C.Compactor(spark, path).committed()) == 1
-    assert journal.count() > 0
+    assert first <= {r["file_path"] for r in done.outputs().collect()}
+    assert done.run(more, index, held) is None and len(done.commits()) == 2
+    txns = [r["txn"] for r in done.journal().collect()]
+    assert len(txns) == len(set(txns))
+
+
+def test_a_run_that_fails_leaves_no_trace(spark, tables, monkeypatch):
+    meta, index, entries = tables
+    done = C.Compactor(spark, new_path(spark, "compaction"))
+    real = C.durable.put_if_absent
+    monkeypatch.setattr(C.durable, "put_if_absent", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        done.run(meta, index, entries)
+    assert done.commits() == [] and done.records().count() == 0
+    monkeypatch.setattr(C.durable, "put_if_absent", real)
+    assert done.run(meta, index, entries)["inputs"] == 200
 
 
 def test_empty_tables(spark, tables):
     meta, index, entries = tables
-    records, journal = C.compact(meta.limit(0), index.limit(0), entries.limit(0))
-    assert records.count() == 0 and journal.count() == 0
+    done = C.compact(meta.limit(0), index.limit(0), entries.limit(0))
+    assert done.records().count() == 0 and done.journal().count() == 0 and done.retired().count() == 0
+    held = C.compact(meta, index, entries.limit(0))
+    assert held.records().count() == 0 and held.retired().count() == 200
 
 
 def test_many_shards(tables):
