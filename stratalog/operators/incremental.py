@@ -5,6 +5,9 @@ took is published as deletion vectors on its files. The consumer then diffs the
 against the latest one - added files, removed files, deletion vectors - and commits its output together with the
 processed version, so a failed run skips nothing and a repeated one takes nothing twice.
 
+Log and consumer live in a folder and are opened again by the next run, which appends only numbers it does not hold, applies to old
+rows only the flushes that are new, and brings back the numbers of a flush that turned out to have failed. All of it is one version.
+
 A flush is a range of sequence numbers and a moment: it took a number of its range if that had arrived by then. Ranges are
 cut into pieces of BLOCK numbers (the inside of a wide range into dyadic nodes, so a range of any width gives few rows) and
 joined on the block; the pieces of a block are reduced to distinct ranges, so a block never holds more than BLOCK * (BLOCK + 1) / 2.
@@ -16,10 +19,12 @@ greatest row); a range with a null end takes nothing. Empty log or no flushes: n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.session import new_path
+from stratalog.session import new_path, settle
 from stratalog.sources.versioned import Consumer, VersionedTable
 
 BLOCK_BITS = 8
@@ -75,25 +80,69 @@ def flushed_pieces(flushes: DataFrame, blocks: DataFrame) -> DataFrame:
     return ends.unionByName(inside).groupBy("block", "lo", "hi").agg(F.max("until").alias("until"))
 
 
-def unflushed_changes(log: DataFrame, meta: DataFrame) -> tuple[VersionedTable, Consumer]:
-    """The log as a versioned table with the completed flushes applied, and the consumer of the next flush."""
-    spark = log.sparkSession
-    source = VersionedTable(spark, new_path(spark, "log"))
-    firsts = valid_changes(log).groupBy("sequence_number").agg(F.min("arrived_at").alias("first_arrival"))
-    source.append(firsts.withColumn("block", F.expr(f"shiftright(sequence_number, {BLOCK_BITS})")))
-    flushes = counting_registrations(meta).where("sst_level = 0 AND coalesce(state, '') <> 'aborted'").select("min_sequence", "max_sequence", F.col("creation_time").alias("until"))
-    files = source.state().files
-    if not files:
-        return source, Consumer(source, new_path(spark, "flush"))
-    rows = source.rows(files)
-    pieces = flushed_pieces(flushes, rows.select("block").distinct()).withColumnRenamed("block", "_b")
-    taken = rows.join(pieces, (F.col("block") == F.col("_b")) & F.col("sequence_number").between(F.col("lo"), F.col("hi")) & (F.col("until") >= F.col("first_arrival")), "left_semi")
-    source.delete_positions(taken.select("_file", "_row"))
-    return source, Consumer(source, new_path(spark, "flush"))
+def completed_flushes(meta: DataFrame) -> DataFrame:
+    """(min_sequence, max_sequence, until) of the level-0 files whose counting registration is not aborted."""
+    counting = counting_registrations(meta).where("sst_level = 0 AND coalesce(state, '') <> 'aborted'")
+    return counting.select("min_sequence", "max_sequence", F.col("creation_time").alias("until")).where("min_sequence <= max_sequence AND until IS NOT NULL").distinct()
 
 
-def next_flush(log: DataFrame, meta: DataFrame) -> DataFrame:
+def covered(rows: DataFrame, flushes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows that a flush took (or, by ``how``, those that none took)."""
+    pieces = flushed_pieces(flushes, rows.select("block").distinct()).withColumnRenamed("block", "_b")
+    return rows.join(pieces, (F.col("block") == F.col("_b")) & F.col("sequence_number").between(F.col("lo"), F.col("hi")) & (F.col("until") >= F.col("first_arrival")), how)
+
+
+class FlushLog:
+    """The log as a versioned table in a folder, and the consumer of the next flush."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.table = VersionedTable(spark, f"{self.path}/log")
+        self.consumer = Consumer(self.table, f"{self.path}/flush")
+
+    def advance(self, log: DataFrame, meta: DataFrame, arrival: str | None = None) -> int | None:
+        """Publish what is new in log and registry as one version; None if nothing is.
+
+        ``arrival`` names a column that grows with the log: rows up to the highest value of an earlier run are not read again.
+        """
+        state, flushes = self.table.state(), completed_flushes(meta)
+        notes = {}
+        if arrival:
+            high = state.notes.get("arrival")
+            log = log if high is None else log.where(F.col(arrival) > high)
+            top = log.agg(F.max(arrival)).first()[0]
+            notes["arrival"] = high if top is None else top
+        new = valid_changes(log).groupBy("sequence_number").agg(F.min("arrived_at").alias("first_arrival")).withColumn("block", F.expr(f"shiftright(sequence_number, {BLOCK_BITS})"))
+        applied = f"{self.path}/flushes/{uuid.uuid4().hex}"
+        flushes.write.parquet(applied)
+        flushes = self.spark.read.schema(flushes.schema).parquet(applied)
+        notes["flushes"] = applied
+        columns = ["sequence_number", "first_arrival", "block"]
+        taken = None
+        if state.files:
+            rows = self.table.marked(state)
+            new = new.join(rows.select("sequence_number"), "sequence_number", "left_anti")
+            before = self.spark.read.schema(flushes.schema).parquet(state.notes["flushes"])
+            on = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in flushes.columns]
+            added = settle(flushes.alias("n").join(before.alias("o"), on, "left_anti"), "flushes-added")
+            withdrawn = settle(before.alias("n").join(flushes.alias("o"), on, "left_anti"), "flushes-withdrawn")
+            if not withdrawn.isEmpty():
+                # numbers that only a withdrawn flush had taken come back as new rows
+                dead = rows.groupBy(*columns).agg(F.min("_deleted").alias("_deleted")).where("_deleted").drop("_deleted")
+                new = new.select(*columns).unionByName(covered(covered(dead, withdrawn), flushes, "left_anti").select(*columns))
+            if not added.isEmpty():
+                taken = covered(rows.where("NOT _deleted"), added).select("_file", "_row")
+        files = self.table.write(new.select(*columns))
+        if files:
+            fresh = covered(self.table.rows(files), flushes).select("_file", "_row")
+            taken = fresh if taken is None else taken.unionByName(fresh)
+        vectors = self.table.write_vectors(taken, state) if taken is not None else {}
+        return self.table.publish({"add": files, "vectors": vectors, "notes": notes}, since=state.version)
+
+
+def next_flush(log: DataFrame, meta: DataFrame, path: str | None = None, arrival: str | None = None) -> DataFrame:
     """Sequence numbers the next flush must take, read from its commit."""
-    _, consumer = unflushed_changes(log, meta)
-    consumer.run(lambda delta: delta.where("_change = 1").select("sequence_number"))
-    return consumer.output("sequence_number bigint")
+    flush = FlushLog(log.sparkSession, path or new_path(log.sparkSession, "flush-log"))
+    flush.advance(log, meta, arrival)
+    flush.consumer.run(lambda delta: delta.where("_change = 1").select("sequence_number"))
+    return flush.consumer.output("sequence_number bigint")

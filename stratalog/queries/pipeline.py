@@ -75,7 +75,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.next_flush(table(spark, d, "wal_entry"), table(spark, d, "sstable_meta"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_current_values, p4_found, p4_per_month, p5_found, p5_records, p5_journal, p5_incremental, p6_found)}
+def p6_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs with a failed one between: the first over the older half of the log and of the registrations, the second over all. What was taken and not since flushed by others is what one run over all takes."""
+    log, meta = table(spark, d, "wal_entry"), table(spark, d, "sstable_meta")
+    half = log.agg(F.expr("percentile_approx(arrival_no, 0.5, 1000)").alias("n")).first()["n"]
+    then = log.where(F.col("arrival_no") <= half).agg(F.max("arrived_at").alias("t")).first()["t"]
+    flush = incremental.FlushLog(spark, new_path(spark, "flush-log"))
+    keep = lambda delta: delta.select("sequence_number", "_change")
+
+    def fails(delta: DataFrame) -> DataFrame:
+        raise OSError("the flush was lost")
+
+    flush.advance(log.where(F.col("arrival_no") <= half), meta.where(F.col("registered_at") <= F.lit(then)), "arrival_no")
+    try:
+        flush.consumer.run(fails)
+    except OSError:
+        pass
+    flush.consumer.run(keep)
+    flush.advance(log, meta, "arrival_no")
+    flush.consumer.run(keep)
+    net = flush.consumer.output("sequence_number bigint, _change int").groupBy("sequence_number").agg(F.sum("_change").alias("n"))
+    return net.where("n = 1").select("sequence_number")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_current_values, p4_found, p4_per_month, p5_found, p5_records, p5_journal, p5_incremental, p6_found, p6_two_runs)}
 
 _WAL = """
 valid AS (SELECT * FROM wal_entry WHERE sequence_number IS NOT NULL AND entry_key IS NOT NULL AND operation IN (1, 2)),
@@ -90,6 +113,11 @@ _SMALL = f"""{_META},
 ends AS (SELECT file_path, max(block_offset + block_size) AS e FROM index_entry GROUP BY file_path),
 small AS (SELECT c.file_path FROM counted c LEFT JOIN ends USING (file_path) WHERE state = 'live' AND CASE WHEN file_size > 0 THEN file_size ELSE coalesce(e, 0) END < 65536)"""
 
+_UNFLUSHED = f"""WITH {_WAL}, {_META},
+arrived AS (SELECT sequence_number, min(arrived_at) AS first_arrival FROM valid GROUP BY sequence_number)
+SELECT sequence_number FROM arrived a WHERE NOT EXISTS (SELECT 1 FROM counted c WHERE c.sst_level = 0 AND c.state <> 'aborted'
+  AND c.min_sequence <= a.sequence_number AND a.sequence_number <= c.max_sequence AND c.creation_time >= a.first_arrival)"""
+
 SQL = {
     "p2_found": f"WITH {_WAL} SELECT entry_key, sequence_number FROM top_of WHERE operation = 1",
     "p2_current_values": f"WITH {_WAL} SELECT entry_key, entry_value FROM top_of WHERE operation = 1",
@@ -100,8 +128,6 @@ SQL = {
     "p5_journal": f"""WITH {_SMALL}, all_sizes AS (SELECT c.file_path, CASE WHEN file_size > 0 THEN file_size ELSE coalesce(e, 0) END AS size FROM counted c LEFT JOIN ends USING (file_path))
 SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS repeated_merges FROM small JOIN all_sizes USING (file_path)""",
     "p5_incremental": f"WITH {_SMALL} SELECT DISTINCT entry_key, sequence_number, TRUE AS settled FROM sstable_entry WHERE file_path IN (SELECT file_path FROM small)",
-    "p6_found": f"""WITH {_WAL}, {_META},
-arrived AS (SELECT sequence_number, min(arrived_at) AS first_arrival FROM valid GROUP BY sequence_number)
-SELECT sequence_number FROM arrived a WHERE NOT EXISTS (SELECT 1 FROM counted c WHERE c.sst_level = 0 AND c.state <> 'aborted'
-  AND c.min_sequence <= a.sequence_number AND a.sequence_number <= c.max_sequence AND c.creation_time >= a.first_arrival)""",
+    "p6_found": _UNFLUSHED,
+    "p6_two_runs": _UNFLUSHED,
 }

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from stratalog.operators.incremental import next_flush
+from stratalog.operators.incremental import FlushLog, next_flush
 from stratalog.session import new_path
 from stratalog.sources.versioned import Consumer, VersionedTable
 
@@ -97,3 +97,40 @@ def test_snapshots_shorten_the_replay(spark, monkeypatch):
         table.append(spark.createDataFrame([(i,)], "x bigint").coalesce(1))
     assert [len(table.state(v).files) for v in range(6)] == [0, 1, 2, 3, 4, 5]
     assert rows(table.changes(1, 4).select("x")) == [(1,), (2,), (3,)]
+
+
+def test_a_version_touches_only_its_files(spark):
+    table = VersionedTable(spark, new_path(spark, "vt"))
+    for i in range(5):
+        table.append(spark.range(i * 100, i * 100 + 100).coalesce(1))
+    one = lambda n: table.delete_positions(table.rows(table.state().files).where(f"id = {n}").select("_file", "_row"))
+    one(7)
+    one(8)
+    one(107)
+    a, b = table.state(6), table.state(7)
+    added, gone, cut = table.difference(a, b)
+    assert (len(added), len(gone), len(cut)) == (0, 0, 1)
+    assert rows(table.changes(6, 7)) == [(8, -1)] and rows(table.changes(5)) == [(107, -1), (7, -1), (8, -1)]
+    assert len(table.changes(7).inputFiles()) <= 1 + len(table._vectors(table.state().vectors).inputFiles()) * 2
+    assert table.read().count() == 497 and table.read(6).count() == 499
+
+
+def test_runs_that_follow_each_other_equal_one_run(spark):
+    rng = random.Random(5)
+    for trial in range(2):
+        log = [(rng.randrange(200), at(i // 3), rng.choice([1, 2, 3]), "a", 1, "x") for i in range(500)]
+        meta = []
+        for i in range(30):
+            lo = rng.randrange(200)
+            meta.append((f"f{i % 20}", lo, lo + rng.randrange(40), 0, at(rng.randrange(150)), rng.choice(["live", "obsolete", "aborted"]), at(i * 5), "u"))
+        flush = FlushLog(spark, new_path(spark, "flush"))
+        frame = lambda xs: spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "arrival_no bigint, " + LOG)
+        for n, m in ((170, 8), (330, 22), (500, 30)):
+            flush.advance(frame(log[:n]), spark.createDataFrame(meta[:m], META), "arrival_no" if trial else None)
+            flush.consumer.run(lambda d: d.select("sequence_number", "_change"))
+            net = {}
+            for s, c in rows(flush.consumer.output("sequence_number bigint, _change int")):
+                net[s] = net.get(s, 0) + c
+            assert sorted((s,) for s, c in net.items() if c) == model(log[:n], meta[:m]) and set(net.values()) <= {0, 1}
+        again = flush.advance(frame(log), spark.createDataFrame(meta, META), "arrival_no" if trial else None)
+        assert again == 4 and flush.table.difference(flush.table.state(3), flush.table.state(4))[2] == {}
