@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.session import settle
+
 SHARD_ITEMS = 40_000
 #: The capacity table is read to the driver; it is a list of settings and may not be larger.
 MOST_CAPACITIES = 1000
@@ -123,7 +125,9 @@ def pack(sizes: DataFrame, capacities: DataFrame, shards: int) -> DataFrame:
     if not wanted:
         return sizes.sparkSession.createDataFrame([], PACKED)
     each = F.explode(F.array(*(F.struct(F.lit(int(r["capacity_id"])).cast("bigint").alias("capacity_id"), F.lit(int(r["capacity_tokens"])).cast("bigint").alias("capacity_tokens")) for r in wanted)))
-    items = sizes.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "tokens", F.monotonically_increasing_id() % 64), F.lit(shards)).cast("int").alias("shard"), each.alias("c"))
+    # copies of a document go to different shards by their number, which is written with them: a repeated task must not give new ones
+    numbered = settle(sizes.select("doc_id", "tokens", (F.monotonically_increasing_id() % 64).alias("copy")), "pack-sizes")
+    items = numbered.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy"), F.lit(shards)).cast("int").alias("shard"), each.alias("c"))
     return items.select("doc_id", "tokens", "shard", "c.*").groupBy("capacity_id", "shard").applyInPandas(_pack_shard, PACKED)
 
 

@@ -29,6 +29,8 @@ SHRINK = 2 / 3
 SMALLEST = 8
 #: Rows that a split groups at once.
 TAKE_ROWS = 200_000
+#: Groups whose sketches a split holds at once; beyond it they go on to the merge, which joins a group's sketches anyway.
+MOST_GROUPS = 20_000
 #: Parts over which a group's sketches are spread for the first merge.
 FAN_OUT = 64
 
@@ -121,7 +123,11 @@ def _sketch_split(groups: list[str], k: int):
         import pandas as pd
         import pyarrow as pa
 
+        from pyspark import TaskContext
+
         found: dict[tuple, Sketch] = {}
+        task, rounds = TaskContext.get(), 0
+        split = task.partitionId() if task else 0
 
         def take(kept):
             x = pa.Table.from_batches(kept).to_pandas()
@@ -133,9 +139,18 @@ def _sketch_split(groups: list[str], k: int):
             for key, part in zip(firsts.itertuples(index=False, name=None), np.split(values, cuts), strict=True):
                 key = tuple(None if pd.isna(v) else v for v in key)
                 if key not in found:
-                    found[key] = Sketch(k, zlib.crc32(repr(key).encode()))
+                    # splits must not toss the same coins, or their errors would add up
+                    found[key] = Sketch(k, zlib.crc32(repr((split, rounds, key)).encode()))
                 found[key].update(part)
 
+        def out():
+            items = list(found.items())
+            for i in range(0, len(items), 2000):
+                part = items[i : i + 2000]
+                columns = [pa.array([key[c] for key, _ in part], kinds[name]) for c, name in enumerate(groups)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.n for _, s in part], pa.int64()), pa.array([s.to_bytes() for _, s in part], pa.binary())], [*groups, "n", "sketch"])
+            found.clear()
+
         kept, size, kinds = [], 0, {}
         for b in batches:
             kinds = kinds or {g: b.schema.field(g).type for g in groups}
@@ -145,15 +160,12 @@ def _sketch_split(groups: list[str], k: int):
             if size >= TAKE_ROWS:
                 take(kept)
                 kept, size = [], 0
+                if len(found) > MOST_GROUPS:
+                    yield from out()
+                    rounds += 1
         if kept:
             take(kept)
-        if not found:
-            return
-        items = list(found.items())
-        for i in range(0, len(items), 2000):
-            part = items[i : i + 2000]
-            columns = [pa.array([key[c] for key, _ in part], kinds[name]) for c, name in enumerate(groups)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.n for _, s in part], pa.int64()), pa.array([s.to_bytes() for _, s in part], pa.binary())], [*groups, "n", "sketch"])
+        yield from out()
 
     return run
 

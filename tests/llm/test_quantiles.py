@@ -63,3 +63,24 @@ def test_empty_table(spark):
     ship(spark)
     df = spark.createDataFrame([], "id bigint, region string, amount double, at timestamp_ntz")
     assert Q.read_quantiles(Q.combine(Q.daily_sketches(df, "amount", ["region"], "at", "id"), ["region"]), ["region"], POINTS).count() == 0
+
+
+def test_groups_beyond_the_budget_go_on_in_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stratalog.llm import quantiles as Q
+    from stratalog.session import ship
+
+    ship(spark)
+    rows_in = spark.range(0, 4000, 1, 2).select((F.col("id") % 50).alias("g"), F.col("id").cast("double").alias("v"))
+    whole = {r["g"]: (r["n"], r["lowest"], r["highest"]) for r in Q.read_quantiles(Q.sketch_groups(rows_in, "v", {"g": F.col("g")}), ["g"], {"m": 0.5}).collect()}
+    monkeypatch.setattr(Q, "MOST_GROUPS", 3)
+    monkeypatch.setattr(Q, "TAKE_ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        run = Q._sketch_split(["g"], 400)
+        parts = rows_in.select("v", "g").withColumnRenamed("v", "value").mapInArrow(run, "g bigint, n bigint, sketch binary").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(parts) > 100 and sum(r["n"] for r in parts) == 4000
+    assert whole == {g: (80, float(g), float(3950 + g)) for g in range(50)}
