@@ -17,7 +17,13 @@ def encode(values: np.ndarray) -> bytes:
     values = np.unique(np.asarray(values, dtype=np.uint32))
     out = []
     for high in np.unique(values >> 16):
-        low = (values[(values >> 16) == high] & 0xFFFF).astype(np.uint16)
+        out.append(_container(int(high), (values[(values >> 16) == high] & 0xFFFF).astype(np.uint16)))
+    return b"".join(out)
+
+
+def _container(high: int, low: np.ndarray) -> bytes:
+    """The smallest form of a container with the sorted values ``low``; nothing for none."""
+    if low.size:
         cuts = np.flatnonzero(np.diff(low.astype(np.int32)) != 1)
         starts, ends = low[np.r_[0, cuts + 1]], low[np.r_[cuts, low.size - 1]]
         if 4 * starts.size < min(2 * low.size, 8192):
@@ -28,30 +34,81 @@ def encode(values: np.ndarray) -> bytes:
             bits = np.zeros(65536, dtype=np.uint8)
             bits[low] = 1
             kind, body = BITS, np.packbits(bits, bitorder="little").tobytes()
-        out += [np.array([(high, kind, len(body))], dtype=_HEAD).tobytes(), body]
-    return b"".join(out)
+        return np.array([(high, kind, len(body))], dtype=_HEAD).tobytes() + body
+    return b""
 
 
-def decode(data: bytes | None) -> np.ndarray:
-    """The sorted values of an encoded set; none for null or empty bytes."""
-    out, at = [], 0
+def _containers(data: bytes | None):
+    """(high, kind, body) of each container."""
+    at = 0
     while data and at < len(data):
         head = np.frombuffer(data, _HEAD, 1, at)[0]
         at += _HEAD.itemsize
-        body = data[at : at + int(head["size"])]
+        yield int(head["high"]), int(head["kind"]), data[at : at + int(head["size"])]
         at += int(head["size"])
-        if head["kind"] == LIST:
-            low = np.frombuffer(body, "<u2").astype(np.uint32)
-        elif head["kind"] == BITS:
-            low = np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little")).astype(np.uint32)
-        else:
-            runs = np.frombuffer(body, "<u2").reshape(-1, 2).astype(np.uint32)
-            lengths = runs[:, 1] + 1
-            low = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(runs[:, 0], lengths)).astype(np.uint32)
-        out.append(low | (np.uint32(head["high"]) << np.uint32(16)))
+
+
+def _low(kind: int, body: bytes) -> np.ndarray:
+    """The sorted values of a container."""
+    if kind == LIST:
+        return np.frombuffer(body, "<u2")
+    if kind == BITS:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little")).astype(np.uint16)
+    runs = np.frombuffer(body, "<u2").reshape(-1, 2).astype(np.uint32)
+    lengths = runs[:, 1] + 1
+    return (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(runs[:, 0], lengths)).astype(np.uint16)
+
+
+def _bits(kind: int, body: bytes) -> np.ndarray:
+    """A container as 8192 bytes of bits."""
+    if kind == BITS:
+        return np.frombuffer(body, np.uint8)
+    if kind == RUNS:
+        runs = np.frombuffer(body, "<u2").reshape(-1, 2).astype(np.int64)
+        edge = np.zeros(65537, np.int8)
+        edge[runs[:, 0]] += 1
+        edge[runs[:, 0] + runs[:, 1] + 1] -= 1
+        return np.packbits(np.cumsum(edge[:-1]).astype(np.uint8), bitorder="little")
+    flags = np.zeros(65536, np.uint8)
+    flags[np.frombuffer(body, "<u2")] = 1
+    return np.packbits(flags, bitorder="little")
+
+
+def _held(low: np.ndarray, kind: int, body: bytes) -> np.ndarray:
+    """Which of the sorted values ``low`` are in a container?"""
+    if kind == BITS:
+        bits = np.frombuffer(body, np.uint8)
+        return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
+    if kind == RUNS:
+        runs = np.frombuffer(body, "<u2").reshape(-1, 2).astype(np.int64)
+        at = np.searchsorted(runs[:, 0], low.astype(np.int64), side="right") - 1
+        return (at >= 0) & (low <= runs[at, 0] + runs[at, 1])
+    other = np.frombuffer(body, "<u2")
+    at = np.minimum(np.searchsorted(other, low), other.size - 1)
+    return other[at] == low
+
+
+def decode(data: bytes | None) -> np.ndarray:
+    """The sorted values of an encoded set; none for null or empty bytes."""
+    out = [_low(kind, body).astype(np.uint32) | (np.uint32(high) << np.uint32(16)) for high, kind, body in _containers(data)]
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def and_not(a: bytes | None, b: bytes | None) -> np.ndarray:
-    """Values of ``a`` that are not in ``b``."""
-    return np.setdiff1d(decode(a), decode(b), assume_unique=True)
+def and_not(a: bytes | None, b: bytes | None) -> bytes:
+    """The encoded set of the values of ``a`` that are not in ``b``, container by container.
+
+    Lists are looked up in the other container as it is; bitmaps and runs meet as words. A container of ``a`` alone is taken unchanged.
+    """
+    others = {high: (kind, body) for high, kind, body in _containers(b)}
+    out = []
+    for high, kind, body in _containers(a):
+        if high not in others:
+            out.append(np.array([(high, kind, len(body))], dtype=_HEAD).tobytes() + body)
+        elif kind == LIST:
+            low = np.frombuffer(body, "<u2")
+            out.append(_container(high, low[~_held(low, *others[high])]))
+        else:
+            left = _bits(kind, body) & ~_bits(*others[high])
+            if left.any():
+                out.append(_container(high, _low(BITS, left.tobytes())))
+    return b"".join(out)
