@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from stratalog.errors import InvalidArgument
+from stratalog.operators import changefeed
 from stratalog.operators.changefeed import BucketedTable, Feed, replay
 from stratalog.session import new_path, ship
 
@@ -70,10 +72,61 @@ def test_unreferenced_files_are_removed(spark):
     t = BucketedTable(spark, new_path(spark, "cf"))
     t.apply(spark.createDataFrame([(1, 1, 1, "a", "x")], KIND), FEED, 1)
     spark.createDataFrame([(1,)], "x int").coalesce(1).write.parquet(f"{t.path}/data/tmp")
-    name = next(f for f in t.manifest()["files"].values())["file"]
+    name = next(f for f in t.manifest()["files"].values())[0]["file"]
     import shutil
 
     plain = name.removeprefix("file://")
     shutil.copy(plain, plain.replace("bucket-00000", "bucket-99999"))
     assert t.vacuum() == 1
     assert rows(t.live()) == [("a", 1, "x")]
+
+
+def test_small_runs_add_deltas_and_buckets_grow(spark, monkeypatch):
+    rng = random.Random(9)
+    # sequences belong to one key each; arrival is the order of the runs
+    changes = [(n, s, rng.choice([1, 1, 2]), f"k{s % 450}", f"v{n}") for n, s in enumerate(rng.sample(range(3_000), 3_000))]
+    t = BucketedTable(spark, new_path(spark, "cf"))
+    t.apply(spark.createDataFrame(changes[:2_000], KIND), FEED, 2)
+    first = t.manifest()
+    assert all(len(f) == 1 for f in first["files"].values()) and len(first["files"]) == 2
+    t.apply(spark.createDataFrame(changes[2_000:2_010], KIND), FEED)
+    t.apply(spark.createDataFrame(changes[2_010:2_015], KIND), FEED)
+    second = t.manifest()
+    assert {f[0]["file"] for f in second["files"].values()} == {f[0]["file"] for f in first["files"].values()}  # the old files stay
+    assert max(len(f) for f in second["files"].values()) == 3
+    assert rows(t.live()) == model(changes[:2_015])
+    monkeypatch.setattr(changefeed, "ROWS_PER_BUCKET", 60)
+    t.apply(spark.createDataFrame(changes[2_015:2_020], KIND), FEED)
+    third = t.manifest()
+    assert third["buckets"] == 8 and len(third["files"]) == 8 and all(len(f) == 1 for f in third["files"].values())
+    assert sum(f[0]["keys"] for f in third["files"].values()) == len({c[3] for c in changes[:2_020]})
+    assert rows(t.live()) == model(changes[:2_020])
+    t.apply(spark.createDataFrame(changes[2_020:], KIND), FEED)
+    assert rows(t.live()) == model(changes)
+
+
+def test_values_keep_their_types(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    kind = "n bigint, s bigint, op int, k binary, a binary, b double, c boolean, d timestamp_ntz, e date, f decimal(12,3), g int, h timestamp"
+    feed = Feed("k", "s", "op", "n", ["a", "b", "c", "d", "e", "f", "g", "h"])
+    row = (bytearray(b"\x00\xff"), 1.5, True, dt.datetime(2024, 1, 2, 3, 4, 5, 6), dt.date(2024, 1, 2), Decimal("1.250"), 7, dt.datetime(2024, 5, 6, 7, 8, 9))
+    t = BucketedTable(spark, new_path(spark, "cf"))
+    t.apply(spark.createDataFrame([(1, 1, 1, bytearray(b"k\xff"), *row), (2, 1, 1, bytearray(b"k"), *[None] * 8)], kind), feed, 1)
+    t.apply(spark.createDataFrame([(3, 2, 1, bytearray(b"z"), *row)], kind), feed)
+    got = {bytes(r["key"]): tuple(r)[2:] for r in t.live().collect()}
+    assert got == {b"k\xff": row, b"k": (None,) * 8, b"z": row}
+    assert [f.dataType.simpleString() for f in t.live().schema][2:] == ["binary", "double", "boolean", "timestamp_ntz", "date", "decimal(12,3)", "int", "timestamp"]
+    with pytest.raises(InvalidArgument):
+        t.apply(spark.createDataFrame([(1, 1, 1, "a", "x")], KIND), FEED)
+
+
+def test_a_split_passes_on_what_it_reduced_when_it_is_full(spark, monkeypatch):
+    monkeypatch.setattr(changefeed, "SPLIT_BYTES", 2_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        changes = [(n, n, 1, f"k{n % 30}", f"v{n}") for n in range(1_000)]
+        assert rows(replay(spark.createDataFrame(changes, KIND).coalesce(1), FEED).live()) == model(changes)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
