@@ -16,6 +16,8 @@ from stratalog.functions.rows import conform
 from stratalog.operators import merge
 from stratalog.plans import router, sql
 from stratalog.session import ship
+from stratalog.sources import durable
+from stratalog.sources.buffered import BufferedTable
 from stratalog.sources.store import ATTEMPTS, TableStore
 
 
@@ -42,6 +44,7 @@ class Engine:
         self.router = router.Router(columnar_threshold)
         self.paused = False
         self._views = threading.RLock()
+        self._buffers: dict[str, BufferedTable] = {}
         self.started = time.time()
 
     # tables -------------------------------------------------------------------------------------------------------
@@ -52,8 +55,7 @@ class Engine:
 
     def drop_table(self, name: str) -> None:
         schema = self.catalog.drop(name)
-        from stratalog.sources import durable
-
+        self._buffers.pop(schema.name, None)
         durable.remove(self.spark, f"{self.path}/tables/{schema.name}-{schema.incarnation}")
 
     def store(self, name: str) -> TableStore:
@@ -264,9 +266,16 @@ class Engine:
     def resume(self) -> None:
         self.paused = False
 
+    def buffered(self, table: str, mode: str = "BATCHED", **group) -> BufferedTable:
+        """The table's log for small writes. Opening it takes what an earlier process left in the log."""
+        name = self.catalog.get(table).name
+        if name not in self._buffers:
+            self._buffers[name] = BufferedTable(self.store(name), mode, **group)
+        return self._buffers[name]
+
     def flush(self) -> dict:
-        """Every commit is durable when it returns; reports each table's files."""
-        return {n: self.store(n).stats()["files"] for n in self.catalog.names()}
+        """Move what the logs hold into the tables; rows flushed by table. Other commits are durable when they return."""
+        return {n: self.buffered(n).flush() if n in self._buffers or durable.exists(self.spark, f"{self.store(n).path}/_wal") else 0 for n in self.catalog.names()}
 
     def stats(self) -> dict:
         tables = [self.store(n).stats() for n in self.catalog.names()]

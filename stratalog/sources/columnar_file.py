@@ -67,6 +67,24 @@ def aggregate(spark: SparkSession, path: str, column: str) -> DataFrame:
     return z.agg(F.sum("rows").alias("total"), F.sum("nulls").alias("nulls"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
 
 
+def numeric_extremes(spark: SparkSession, path: str, column: str) -> tuple[float | None, float | None]:
+    """Lowest and highest value of a numeric column of a folder's files, by footers that the driver reads; for the few files of one append."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    low = high = None
+    for p, _ in durable.listing(spark, path, ".parquet"):
+        system, at = fs.FileSystem.from_uri(qualified(spark, p))
+        with system.open_input_file(at) as f:
+            meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                s = meta.row_group(g).column(c).statistics
+                if meta.row_group(g).column(c).path_in_schema == column and s is not None and s.has_min_max:
+                    low, high = s.min if low is None else min(low, s.min), s.max if high is None else max(high, s.max)
+    return low, high
+
+
 def groups_that_may_contain(spark: SparkSession, path: str, column: str, low: float, high: float) -> DataFrame:
     """(file, row_group) whose range meets [low, high]; groups without statistics may contain anything."""
     z = zones(spark, path).where(F.col("column_name") == column)

@@ -21,9 +21,12 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return reader.load(path)
 
 
-def upsert_stream(engine: Engine, table: str, stream: DataFrame, name: str, checkpoint: str, deleted: str | None = None, mode: str = "BATCHED") -> StreamingQuery:
+def upsert_stream(engine: Engine, table: str, stream: DataFrame, name: str, checkpoint: str, deleted: str | None = None, mode: str = "BATCHED", order: str | None = None) -> StreamingQuery:
     """Start writing a stream into a table. ``deleted`` names a boolean column whose true rows are tombstones.
 
+    ``order`` names the column by which changes of a key follow each other, in an ordered table: whatever order they arrive in, inside a
+    batch, across batches or across streams, the highest stays. Without it the last batch wins, and of a batch any row of a key.
+
     The batch number is saved in the table's manifest with the rows, so a batch that runs again after a failure changes nothing.
     """
     schema = engine.catalog.get(table)
@@ -31,8 +34,14 @@ def upsert_stream(engine: Engine, table: str, stream: DataFrame, name: str, chec
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.where(F.col(schema.primary_key).isNotNull())
         flag = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-        typed = conform(rows.withColumn(merge.DELETED, flag), schema, skip=[deleted] if deleted else [], keep=[merge.DELETED], unchecked=merge.DELETED)
-        engine.store(table).commit(typed, stream=(name, number))
+        keep, skip = [merge.DELETED], [deleted] if deleted else []
+        rows = rows.withColumn(merge.DELETED, flag)
+        if order:
+            rows = rows.where(F.col(order).isNotNull()).withColumn("_order", F.col(order).cast("bigint"))
+            keep.append("_order")
+            skip += [order] if order.lower() not in {c.name.lower() for c in schema.columns} else []
+        typed = conform(rows, schema, skip=skip, keep=keep, unchecked=merge.DELETED)
+        engine.store(table).commit(typed, stream=(name, number), order=F.col("_order") if order else None)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**TRIGGERS[mode]).start()
 

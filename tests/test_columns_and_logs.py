@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,11 +87,15 @@ def test_log(spark):
     log.append(spark.createDataFrame([(i, 0, INSERT if i % 2 else DELETE, f"key_{i}", None if i == 4 else f"v{i}") for i in range(10)], kind).repartition(3))
     assert [r["sequence"] for r in log.recover().collect()] == list(range(10)) and log.max_sequence() == 9
     damaged = spark.createDataFrame([(50, 0, 1, "k", "v", 123)], kind + ", crc bigint")
-    damaged.write.mode("append").parquet(f"{log.path}/entries")
+    damaged.write.mode("append").parquet(f"{log.path}/entries/{log._appends()[0][1]}")
     assert log.max_sequence() == 9
-    log.truncate(5)
+    assert log.truncate(5) == 0
     assert [r["sequence"] for r in log.recover().collect()] == [6, 7, 8, 9]
-    assert log.checkpoint() == 9 and log.recover().count() == 0
+    log.append(spark.createDataFrame([(20, 0, INSERT, "k", "v")], kind))
+    assert log.truncate(9) == 1 and [r["sequence"] for r in log.recover().collect()] == [20] and len(log._appends()) == 1
+    assert log.checkpoint() == 20 and log.recover().count() == 0 and log._appends() == []
+    log.append(spark.createDataFrame([], kind))
+    assert log._appends() == []
 
 
 def test_group_commit(spark):
@@ -99,10 +104,21 @@ def test_group_commit(spark):
         group = GroupCommit(log, mode, entries=3, millis=10_000)
         for i in range(5):
             group.add(i, INSERT, f"k{i}", "v")
+        if mode == "TIMED":
+            group.add(5, INSERT, "k5", "v")
+            group.millis = 50
+            group.flush()
+            group.add(6, INSERT, "k6", "v")  # appended by the timer
+            for _ in range(100):
+                if group.stats["commits"] == 2:
+                    break
+                time.sleep(0.1)
+            assert group.stats == {"commits": 2, "entries": 7, "bytes": 21, "largest": 6} and log.recover().count() == 7
+            continue
         group.flush()
         assert group.stats["entries"] == 5 and log.recover().count() == 5
         assert group.stats["commits"] == (commits or 1)
-    with pytest.raises(ValueError):
+    with pytest.raises(InvalidArgument):
         GroupCommit(log, "NEVER")
 
 
@@ -138,3 +154,53 @@ def test_windows_of_a_stream_drop_what_is_too_late(spark):
         query.awaitTermination()
     got = sorted((r["window_start"].hour, r["k"], r["n"], r["total"]) for r in spark.read.parquet(f"{source}-out").collect())
     assert got == [(0, "a", 2, 3), (5, "a", 1, 4), (5, "b", 1, 16)]
+
+
+def test_small_writes_through_the_log(spark):
+    path = new_path(spark, "engine")
+    engine = Engine(spark, path)
+    engine.create_table(TableSchema("w", [ColumnSpec("k", parse_type("BIGINT")), ColumnSpec("v", parse_type("STRING")), ColumnSpec("x", parse_type("DOUBLE"))]))
+    t = engine.buffered("w", entries=2)
+    for k in (1, 2, 3):
+        t.put(k=k, v=f"v{k}", x=k / 2)
+    t.delete(2)
+    assert rows(engine.table("w")) == []  # logged, not yet in the table
+    assert engine.flush() == {"w": 3} and rows(engine.table("w")) == [(1, "v1", 0.5), (3, "v3", 1.5)]
+    t.put(k=1, v="late", x=None)
+    t.put(k=4, v=None, x=2.0)
+    again = Engine(spark, path)  # the process died before its flush
+    assert again.buffered("w").recovered == 2 and rows(again.table("w")) == [(1, "late", None), (3, "v3", 1.5), (4, None, 2.0)]
+    assert again.buffered("w").put(k=9, v="n", x=1.0) == 6
+
+
+def test_a_flush_that_failed_before_its_truncation_takes_nothing_twice(spark, monkeypatch):
+    engine = Engine(spark, new_path(spark, "engine"), auto_compact=False)
+    engine.create_table(TableSchema("w", [ColumnSpec("k", parse_type("BIGINT")), ColumnSpec("v", parse_type("STRING"))]))
+    t = engine.buffered("w")
+    t.put(k=1, v="a")
+    with monkeypatch.context() as m:
+        m.setattr(Log, "truncate", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            t.flush()
+    version = engine.store("w").version()
+    assert t.flush() == 0 and engine.store("w").version() == version and rows(engine.table("w")) == [(1, "a")]
+
+
+def test_a_stream_in_any_order_keeps_the_highest(spark):
+    engine = Engine(spark, new_path(spark, "engine"), auto_compact=False)
+    engine.create_table(TableSchema("s", [ColumnSpec("k", parse_type("BIGINT")), ColumnSpec("v", parse_type("STRING"))], ordered=True))
+    rng, events = random.Random(4), [(n, n % 7, f"v{n}", n % 11 == 0) for n in range(60)]
+    want = {}
+    for n, k, v, gone in events:
+        want[k] = None if gone else v
+    rng.shuffle(events)
+    source, kind = new_path(spark, "in"), "n bigint, k bigint, v string, gone boolean"
+    for i in range(0, 60, 20):
+        spark.createDataFrame([*events[i : i + 20], (None, 1, "x", False)], kind).write.mode("append").parquet(source)
+    stream = ingest.file_stream(spark, source, kind, 1)
+    ingest.upsert_stream(engine, "s", stream, "in", new_path(spark, "mark"), deleted="gone", order="n").awaitTermination()
+    assert rows(engine.table("s")) == sorted((k, v) for k, v in want.items() if v is not None)
+    older = new_path(spark, "older")
+    spark.createDataFrame([(-1, 1, "old", False)], kind).write.parquet(older)
+    ingest.upsert_stream(engine, "s", ingest.file_stream(spark, older, kind), "other", new_path(spark, "mark"), deleted="gone", order="n").awaitTermination()
+    assert rows(engine.table("s")) == sorted((k, v) for k, v in want.items() if v is not None)
