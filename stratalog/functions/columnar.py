@@ -27,6 +27,19 @@ def zone_map(df: DataFrame, group: Column, column: str) -> DataFrame:
     return df.groupBy(group.alias("row_group")).agg(F.count("*").alias("total"), (F.count("*") - F.count(c)).alias("nulls"), F.min(c).alias("min_value"), F.max(c).alias("max_value"))
 
 
+def block_stats(df: DataFrame, group: Column, column: str) -> DataFrame:
+    """The statistics of each block of a numeric column, from which aggregates come without its values."""
+    c = F.col(column)
+    exact = F.sum(c) if dict(df.dtypes)[column] not in ("double", "float") else F.sum(c.cast("double"))
+    return df.groupBy(group.alias("block")).agg(F.count("*").alias("total"), (F.count("*") - F.count(c)).alias("nulls"), F.min(c).alias("min_value"), F.max(c).alias("max_value"), exact.alias("sum_value"))
+
+
+def from_blocks(blocks: DataFrame) -> DataFrame:
+    """count, sum, avg, min and max of a column from its blocks' statistics alone; nulls don't count."""
+    known = F.sum(F.col("total") - F.col("nulls"))
+    return blocks.agg(known.alias("count_value"), F.sum("sum_value").alias("sum_value"), (F.sum("sum_value") / known).alias("avg_value"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+
+
 def may_contain(low, high) -> Column:
     """Does a zone [min_value, max_value] overlap [low, high]?"""
     return (F.col("min_value") <= F.lit(high)) & (F.col("max_value") >= F.lit(low))
@@ -62,9 +75,13 @@ def _local_runs(column: str):
                 continue
             encoded = pc.run_end_encode(b.column(column))
             values, ends = encoded.values, np.asarray(encoded.run_ends).astype(np.int64)
+            if pa.types.is_floating(values.type):  # NaN equals NaN here as it does in Spark
+                nan = np.asarray(pc.fill_null(pc.is_nan(values), False))
+                last_of = np.append(~(nan[:-1] & nan[1:]), True)
+                values, ends = values.filter(pa.array(last_of)), ends[last_of]
             lengths = np.diff(ends, prepend=0)
             if held is not None:
-                if values[0].as_py() == held[0].as_py():
+                if _same(values[0].as_py(), held[0].as_py()):
                     lengths[0] += held[1]
                 else:
                     yield _run_batch(part, number, held[0], held[1], column, b)
@@ -88,28 +105,49 @@ def _run_batch(part: int, number: int, value, length: int, column: str, like):
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([value.as_py()], kind), pa.array([length], pa.int64())], ["_part", "_n", "val", "run_len"])
 
 
+def _same(a, b) -> bool:
+    """Equal, or both null, or both NaN."""
+    return a == b if a == a and b == b else a != a and b != b
+
+
+#: Rows that one generated row of a run expands to at most.
+RUN_CHUNK = 4096
+
+
 def rle_encode(df: DataFrame, order: str, column: str) -> DataFrame:
     """Runs of equal values in order: run_id from 1, val, run_len. Nulls make runs too.
 
-    Each range partition finds its own runs in one pass; only runs, not rows, are numbered, and a run that crosses a border is joined.
+    Each range partition finds its own runs in one pass. Runs that cross a border are joined by the first and last runs of the
+    partitions (one row each, on the driver); the runs themselves are numbered where they lie.
     """
     from stratalog.session import settle, ship
 
-    ship(df.sparkSession)
-    rows = df.select(order, F.col(column)).repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.select(order, F.col(column)).repartitionByRange(F.col(order)).sortWithinPartitions(order).select(column)
     kind = df.schema[column].dataType.simpleString()
     runs = settle(rows.mapInArrow(_local_runs(column), f"_part int, _n bigint, val {kind}, run_len bigint"), "runs")
-    ends = runs.groupBy("_part").agg(F.count("*").alias("_runs"), F.min_by(F.struct("val"), "_n").alias("_head"), F.max_by(F.struct("val"), "_n").alias("_tail"))
-    by_part = Window.orderBy("_part")  # one row per partition
-    joins = (F.lag("_tail").over(by_part).isNotNull() & F.lag("_tail").over(by_part)["val"].eqNullSafe(F.col("_head")["val"])).cast("bigint")
-    borders = ends.withColumn("_joins", joins).select("_part", (F.sum(F.col("_runs") - F.col("_joins")).over(by_part) - F.col("_runs")).alias("_off"))
-    # a part's first run has number _off + 1, or that of the run it joins, which is _off as well
-    return runs.join(F.broadcast(borders), "_part").groupBy((F.col("_off") + F.col("_n") + 1).alias("run_id")).agg(F.first("val").alias("val"), F.sum("run_len").alias("run_len"))
+    ends = runs.groupBy("_part").agg(F.count("*").alias("k"), F.min_by(F.struct("val", "run_len"), "_n").alias("head"), F.max_by(F.struct("val"), "_n").alias("tail")).orderBy("_part").collect()
+    places, at, tail, owner = [], 0, None, None
+    for e in ends:
+        joins = tail is not None and _same(e["head"]["val"], tail["val"])
+        # the run numbered k - 1 of the owner goes on in this partition
+        if joins:
+            places[owner]["extra"] += e["head"]["run_len"]
+        places.append({"_part": e["_part"], "off": at - int(joins), "from": int(joins), "last": e["k"] - 1, "extra": 0})
+        if not joins or e["k"] > 1:
+            owner = len(places) - 1
+        at, tail = at + e["k"] - int(joins), e["tail"]
+    borders = spark.createDataFrame([(p["_part"], p["off"], p["from"], p["last"], p["extra"]) for p in places], "_part int, _off bigint, _from bigint, _last bigint, _extra bigint")
+    placed = runs.join(F.broadcast(borders), "_part").where("_n >= _from")
+    length = F.col("run_len") + F.when(F.col("_n") == F.col("_last"), F.col("_extra")).otherwise(0)
+    return placed.select((F.col("_off") + F.col("_n") + 1).alias("run_id"), "val", length.alias("run_len"))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
-    """(run_id, offset, val): the rows of the runs."""
-    return runs.select("run_id", F.posexplode(F.array_repeat("val", F.col("run_len").cast("int"))).alias("offset", "val"))
+    """(run_id, offset, val): the rows of the runs. A run of any length is given out in chunks."""
+    chunks = runs.where("run_len > 0").select("run_id", "val", "run_len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("run_len") - 1, F.lit(RUN_CHUNK).cast("bigint"))).alias("_at"))
+    return chunks.select("run_id", F.explode(F.sequence("_at", F.least(F.col("_at") + RUN_CHUNK, F.col("run_len")) - 1)).alias("offset"), "val")
 
 
 def dictionary(df: DataFrame, order: str, column: str) -> DataFrame:
@@ -121,6 +159,11 @@ def dictionary(df: DataFrame, order: str, column: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").select("val", (F.col("_rank") + F.col("_off") - 1).cast("bigint").alias("code"))
 
 
+def dictionary_size(codes: DataFrame) -> DataFrame:
+    """entries: how many values a dictionary holds."""
+    return codes.agg(F.count("*").alias("entries"))
+
+
 def dictionary_encode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
     return df.join(codes.withColumnRenamed("val", column), column, "left").drop(column)
 
@@ -131,9 +174,94 @@ def dictionary_decode(df: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def delta_encode(df: DataFrame, order: str, column: str) -> DataFrame:
-    """Difference to the row before; the first row keeps its value as ``base``."""
+    """Difference to the row before; a row without a value before it (the first, or one after a null) keeps its value as ``base``."""
     rows = _before(_parts(df.select(order, column), order), order, F.col(column))
-    return rows.select(order, F.when(F.col("_prev").isNull(), F.col(column)).alias("base"), (F.col(column) - F.col("_prev.v")).alias("delta"))
+    return rows.select(order, F.when(F.col("_prev.v").isNull(), F.col(column)).alias("base"), (F.col(column) - F.col("_prev.v")).alias("delta"))
+
+
+def delta_decode(encoded: DataFrame, order: str) -> DataFrame:
+    """(order, val): running sums of the deltas from each base on, nulls where both are null.
+
+    Sums are made inside range partitions; what a partition hands to the next is one number a partition.
+    """
+    rows = _parts(encoded.select(order, "base", "delta"), order)
+    own = Window.partitionBy("_part").orderBy(order)
+    rows = rows.withColumn("_seg", F.sum(F.col("base").isNotNull().cast("bigint")).over(own))
+    step = F.coalesce("base", "delta")
+    rows = rows.withColumn("_sum", F.sum(step).over(Window.partitionBy("_part", "_seg").orderBy(order)))
+    last = rows.groupBy("_part").agg(F.max_by(F.struct("_seg", "_sum"), F.col(order)).alias("e")).orderBy("_part").collect()  # one row per partition
+    carried, carry = [], 0
+    for r in last:
+        carried.append((r["_part"], carry))
+        carry = (r["e"]["_sum"] or 0) + (carry if r["e"]["_seg"] == 0 else 0)
+    kind = rows.schema["delta"].dataType.simpleString()
+    carries = encoded.sparkSession.createDataFrame(carried, f"_part int, _carry {kind}")
+    value = F.when(step.isNotNull(), F.col("_sum") + F.when(F.col("_seg") == 0, F.col("_carry")).otherwise(F.lit(0)))
+    return rows.join(F.broadcast(carries), "_part").select(order, value.alias("val"))
+
+
+#: Values of a packed block.
+PACK_BLOCK = 4096
+_PACKED = "part int, block bigint, n int, base bigint, width int, present binary, packed binary"
+
+
+def bit_pack(df: DataFrame, order: str, column: str) -> DataFrame:
+    """Blocks of PACK_BLOCK integers in order: each value less the block's lowest, in as many bits as the largest needs, and a bit per row for nulls."""
+    from stratalog.session import ship
+
+    ship(df.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, block, kept, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed(column):
+            nonlocal block
+            for at in range(0, len(column), PACK_BLOCK):
+                piece = column.slice(at, PACK_BLOCK).combine_chunks()
+                there = ~np.asarray(piece.is_null())
+                values = piece.drop_null().to_numpy().astype(np.int64)
+                base = int(values.min()) if values.size else 0
+                left = values.view(np.uint64) - np.int64(base).view(np.uint64)
+                width = int(left.max()).bit_length() if values.size else 0
+                bits = ((left[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+                rows = (part, block, len(piece), base, width, np.packbits(there, bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes())
+                block += 1
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(rows, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [f.split()[0] for f in _PACKED.split(", ")])
+
+        for b in batches:
+            kept.append(b.column(0))
+            size += b.num_rows
+            if size >= PACK_BLOCK:
+                whole = pa.chunked_array(kept)
+                full = size - size % PACK_BLOCK
+                yield from packed(whole.slice(0, full))
+                kept, size = ([whole.slice(full).combine_chunks()], size - full) if size > full else ([], 0)
+        if size:
+            yield from packed(pa.chunked_array(kept))
+
+    return df.select(order, F.col(column).cast("bigint").alias("v")).repartitionByRange(F.col(order)).sortWithinPartitions(order).select("v").mapInArrow(run, _PACKED)
+
+
+def bit_unpack(blocks: DataFrame) -> DataFrame:
+    """(part, block, pos, val): the values of packed blocks in their order."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                there = np.unpackbits(np.frombuffer(r["present"], np.uint8), bitorder="little")[: r["n"]].astype(bool)
+                k, width = int(there.sum()), r["width"]
+                bits = np.unpackbits(np.frombuffer(r["packed"], np.uint8), bitorder="little")[: k * width].reshape(k, width).astype(np.uint64)
+                values = np.zeros(r["n"], np.int64)
+                values[there] = ((bits << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + np.int64(r["base"]).view(np.uint64)).view(np.int64)
+                n = r["n"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["part"], np.int32)), pa.array(np.full(n, r["block"], np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(values, mask=~there)], ["part", "block", "pos", "val"])
+
+    return blocks.mapInArrow(run, "part int, block bigint, pos int, val bigint")
 
 
 def bit_width(column: Column) -> Column:

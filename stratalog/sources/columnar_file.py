@@ -5,10 +5,12 @@ A footer read opens the end of each file only. Footers are read by tasks over th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.session import qualified, ship
 from stratalog.sources import durable
@@ -19,13 +21,29 @@ CODECS = {"NONE": "uncompressed", "RLE": "snappy", "DICTIONARY": "snappy", "DELT
 
 
 def write(df: DataFrame, path: str, rows_per_group: int = 1_000_000, compression: str = "RLE", dictionary: dict[str, bool] | None = None, bloom: list[str] | None = None) -> None:
-    """Write row groups of ``rows_per_group`` rows; dictionary encoding and bloom filters can be set by column."""
+    """Write row groups of ``rows_per_group`` rows; dictionary encoding and bloom filters can be set by column.
+
+    Sums of numeric columns, which footers lack, are observed while the rows are written and kept beside the files.
+    """
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    seen = Observation()
+    if numeric:
+        df = df.observe(seen, F.count("*").alias("rows"), *(F.sum(F.col(f"`{c}`")).cast("string").alias(f"s{i}") for i, c in enumerate(numeric)))
     writer = df.write.option("compression", CODECS[compression]).option("parquet.block.row.count.limit", rows_per_group)
     for column, on in (dictionary or {}).items():
         writer = writer.option(f"parquet.enable.dictionary#{column}", str(on).lower())
     for column in bloom or []:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
+    if numeric:
+        got = seen.get
+        durable.put_if_absent(df.sparkSession, f"{path}/_sums/{uuid.uuid4().hex}.json", {c: got[f"s{i}"] for i, c in enumerate(numeric)})
+
+
+def _sum(spark: SparkSession, path: str, column: str) -> str | None:
+    """The column's sum as it was written, null if the files were not written here."""
+    found = [durable.read_json(spark, p).get(column) for p, _ in durable.listing(spark, f"{path}/_sums", ".json")]
+    return found[0] if found else None
 
 
 def _footers(batches: Iterator) -> Iterator:
@@ -62,9 +80,11 @@ def zones(spark: SparkSession, path: str) -> DataFrame:
 
 
 def aggregate(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """total, nulls, min_value and max_value of a numeric column without reading a value of it."""
+    """total, nulls, min_value, max_value, sum_value and avg_value of a numeric column without reading a value of it."""
     z = zones(spark, path).where(F.col("column_name") == column)
-    return z.agg(F.sum("rows").alias("total"), F.sum("nulls").alias("nulls"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+    out = z.agg(F.sum("rows").alias("total"), F.sum("nulls").alias("nulls"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+    known = F.lit(_sum(spark, path, column)).cast("double")
+    return out.withColumns({"sum_value": known, "avg_value": known / (F.col("total") - F.col("nulls"))})
 
 
 def numeric_extremes(spark: SparkSession, path: str, column: str) -> tuple[float | None, float | None]:

@@ -40,6 +40,49 @@ def test_run_lengths_round_trip(spark, seed):
     assert columnar.rle_decode(runs).count() == len(values)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_runs_across_borders(spark, parts):
+    nan = float("nan")
+    values = [nan, nan, None, None] + [1.0] * 50 + [nan] * 30 + [2.0, 1.0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        runs = columnar.rle_encode(numbered(spark, values, "double"), "pos", "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = [(r["run_id"], str(r["val"]), r["run_len"]) for r in sorted(runs, key=lambda r: r["run_id"])]
+    assert got == [(1, "nan", 2), (2, "None", 2), (3, "1.0", 50), (4, "nan", 30), (5, "2.0", 1), (6, "1.0", 1)]
+
+
+def test_a_long_run_is_given_out_in_chunks(spark):
+    runs = spark.createDataFrame([(1, "a", 10_000), (2, None, 3), (3, "z", 0)], "run_id bigint, val string, run_len bigint")
+    got = columnar.rle_decode(runs)
+    assert got.groupBy("run_id").agg(F.count("*"), F.min("offset"), F.max("offset"), F.count_distinct("offset")).orderBy("run_id").collect() == [(1, 10_000, 0, 9_999, 10_000), (2, 3, 0, 2, 3)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deltas_and_packed_bits_come_back(spark, seed):
+    rng = random.Random(seed)
+    values = [rng.choice([None, rng.randrange(-50, 50), rng.randrange(1 << 40)]) if n % 7 else rng.randrange(10) for n in range(300)]
+    values += [5] * 20 + [None] * 20 + [-(1 << 63), (1 << 63) - 1]
+    df = numbered(spark, values, "bigint")
+    small = [v if v is None or abs(v) < 1 << 45 else 0 for v in values]
+    back = columnar.delta_decode(columnar.delta_encode(numbered(spark, small, "bigint"), "pos", "v"), "pos")
+    assert [r["val"] for r in back.orderBy("pos").collect()] == small
+    back = columnar.bit_unpack(columnar.bit_pack(df, "pos", "v")).orderBy("part", "block", "pos").collect()
+    assert [r["val"] for r in back] == values
+    blocks = columnar.bit_pack(spark.range(20_000).withColumn("v", F.col("id") % 16), "id", "v")
+    assert blocks.where("n = 4096").select("width", F.length("packed")).distinct().collect() == [(4, 2048)]
+    assert columnar.bit_unpack(blocks).count() == 20_000
+
+
+def test_aggregates_from_block_statistics(spark):
+    df = numbered(spark, [*range(0, 1000, 10), None], "bigint")
+    blocks = columnar.block_stats(df, F.floor(F.col("pos") / 7), "v")
+    assert rows(columnar.from_blocks(blocks)) == [(100, 49_500, 495.0, 0, 990)]
+
+
 def test_dictionary_and_delta(spark):
     df = numbered(spark, ["red", "blue", "red", None, "green", "blue", "red"])
     codes = columnar.dictionary(df, "pos", "v")
