@@ -10,6 +10,7 @@ from stratalog.engine import Engine
 from stratalog.functions import columnar, rows
 from stratalog.operators import merge
 from stratalog.plans import router
+from stratalog.queries.loaded import ask, engine_with
 from stratalog.session import new_path, table
 from stratalog.sources import generate, wal
 from stratalog.sources.store import TableStore
@@ -50,60 +51,42 @@ def _loaded(spark: SparkSession, d: str, name: str, key: str) -> tuple[Engine, T
     return engine, store
 
 
-# scans and lookups --------------------------------------------------------------------------------------------------
+# scans and lookups: through the engine, over tables with a history to merge ----------------------------------------
 
 
-@query("SELECT * FROM orders")
-def full_scan(spark, d):
-    return table(spark, d, "orders")
+def statement(name: str, text: str, other: str | None = None):
+    """Register a statement that the engine answers; ``other`` is its form for the comparison where that differs."""
+    QUERIES[name] = lambda spark, d: ask(spark, d, text)
+    SQL[name] = other or text
 
 
-@query("SELECT p_name, p_size FROM part")
-def project(spark, d):
-    return table(spark, d, "part").select("p_name", "p_size")
-
-
-@query("SELECT p_partkey, p_size * 2 + 1 AS twice, upper(p_brand) AS brand FROM part")
-def project_expressions(spark, d):
-    return table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2 + 1).alias("twice"), F.upper("p_brand").alias("brand"))
-
-
-@query("SELECT DISTINCT p_brand, p_size FROM part")
-def project_distinct(spark, d):
-    return table(spark, d, "part").select("p_brand", "p_size").distinct()
-
-
-@query("SELECT * FROM orders WHERE o_orderkey = 42")
-def point_lookup(spark, d):
-    return table(spark, d, "orders").where("o_orderkey = 42")
+statement("full_scan", "SELECT * FROM orders")
+statement("project", "SELECT p_name, p_size FROM part")
+statement("project_expressions", "SELECT p_partkey, p_size * 2 + 1 AS twice, upper(p_brand) AS brand FROM part")
+statement("project_distinct", "SELECT DISTINCT p_brand, p_size FROM part")
+statement("point_lookup", "SELECT * FROM orders WHERE o_orderkey = 42")
+statement("prefix_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE startswith(CAST(o_orderkey AS STRING), '12')", "SELECT o_orderkey, o_totalprice FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '12')")
+statement("page_after_key", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 25")
+statement("sql_range_pruned", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND o_orderstatus = 'F'")
+statement("sql_key_list", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 7, 14, 77, -3)")
+statement("sql_star_beside_columns", "SELECT *, r_regionkey + 1 AS next_key FROM region")
 
 
 @query("SELECT * FROM orders WHERE o_orderkey = 42")
 def store_point_lookup(spark, d):
-    """The same through the engine: only files whose key range holds 42 are read."""
-    return _loaded(spark, d, "orders", "o_orderkey")[1].get(42)
+    """The same by the store: only files whose key range holds 42 are read."""
+    return engine_with(spark, d, ["orders"]).get("orders", 42)
 
 
 @query("SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
 def store_range_scan(spark, d):
-    return _loaded(spark, d, "orders", "o_orderkey")[1].range(100, 900)
+    return engine_with(spark, d, ["orders"]).store("orders").range(100, 900)
 
 
 @query("SELECT 'orders:' || CAST(o_orderkey AS VARCHAR) AS k, o_custkey FROM orders WHERE 'orders:' || CAST(o_orderkey AS VARCHAR) BETWEEN 'orders:10' AND 'orders:5'")
 def key_range(spark, d):
     """Byte order of textual keys."""
-    return table(spark, d, "orders").select(encode_key("orders", F.col("o_orderkey")).alias("k"), "o_custkey").where(F.col("k").between("orders:10", "orders:5"))
-
-
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '12')")
-def prefix_scan(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderkey").cast("string").startswith("12")).select("o_orderkey", "o_totalprice")
-
-
-@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS k, o_custkey FROM orders WHERE lpad(CAST(o_orderkey AS VARCHAR), 10, '0') > '0000000100' ORDER BY k LIMIT 25")
-def page_after_key(spark, d):
-    """One page of keyset pagination (the limit is the page)."""
-    return table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("k"), "o_custkey").where("k > '0000000100'").orderBy("k").limit(25)
+    return engine_with(spark, d, ["orders"]).table("orders").select(encode_key("orders", F.col("o_orderkey")).alias("k"), "o_custkey").where(F.col("k").between("orders:10", "orders:5"))
 
 
 _KEYS = "(VALUES (CAST(1 AS BIGINT)), (CAST(7 AS BIGINT)), (CAST(-5 AS BIGINT))) AS w(k)"
@@ -115,44 +98,23 @@ def _keys(spark) -> DataFrame:
 
 @query(f"SELECT w.k AS o_orderkey, o_custkey, o_totalprice FROM {_KEYS} LEFT JOIN orders ON w.k = o_orderkey")
 def batch_get(spark, d):
-    return _loaded(spark, d, "orders", "o_orderkey")[1].batch_get(_keys(spark), "k").select("o_orderkey", "o_custkey", "o_totalprice")
+    return engine_with(spark, d, ["orders"]).store("orders").batch_get(_keys(spark), "k").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query(f"SELECT w.k AS o_orderkey FROM {_KEYS} WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = w.k)")
 def batch_get_missing(spark, d):
-    return _loaded(spark, d, "orders", "o_orderkey")[1].missing(_keys(spark), "k")
+    return engine_with(spark, d, ["orders"]).store("orders").missing(_keys(spark), "k")
 
 
 # predicates ---------------------------------------------------------------------------------------------------------
 
 for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
-    QUERIES[f"filter_{_name}"] = lambda spark, d, op=_op: table(spark, d, "part").where(f"p_size {op} 7").select("p_partkey", "p_size")
-    SQL[f"filter_{_name}"] = f"SELECT p_partkey, p_size FROM part WHERE p_size {_op} 7"
-
-_NESTED = "(p_size < 10 AND p_brand = 'Brand#1') OR (p_size > 45 AND (p_retailprice > 1500 OR p_brand <> 'Brand#2'))"
-
-
-@query(f"SELECT * FROM part WHERE {_NESTED}")
-def filter_and_or(spark, d):
-    return table(spark, d, "part").where(_NESTED)
+    statement(f"filter_{_name}", f"SELECT p_partkey, p_size FROM part WHERE p_size {_op} 7")
 
-
-_EXTENDED = "NOT (p_size = 3) AND p_brand LIKE 'Brand%' AND p_size IN (1, 2, 3, 4, 5) AND p_retailprice BETWEEN 900 AND 1500 AND p_name IS NOT NULL"
-
-
-@query(f"SELECT p_partkey FROM part WHERE {_EXTENDED}")
-def filter_extended(spark, d):
-    return table(spark, d, "part").where(_EXTENDED).select("p_partkey")
-
-
-@query("SELECT p_partkey FROM part WHERE 5 < p_size")
-def filter_literal_left(spark, d):
-    return table(spark, d, "part").where("5 < p_size").select("p_partkey")
-
-
-@query("SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_discount > l_tax")
-def filter_column_column(spark, d):
-    return table(spark, d, "lineitem").where("l_discount > l_tax").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+statement("filter_and_or", "SELECT * FROM part WHERE (p_size < 10 AND p_brand = 'Brand#1') OR (p_size > 45 AND (p_retailprice > 1500 OR p_brand <> 'Brand#2'))")
+statement("filter_extended", "SELECT p_partkey FROM part WHERE NOT (p_size = 3) AND p_brand LIKE 'Brand%' AND p_size IN (1, 2, 3, 4, 5) AND p_retailprice BETWEEN 900 AND 1500 AND p_name IS NOT NULL")
+statement("filter_literal_left", "SELECT p_partkey FROM part WHERE 5 < p_size")
+statement("filter_column_column", "SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_discount > l_tax")
 
 
 _NULLS = [("differs", "t <> 'view'"), ("equals_null", "t = NULL"), ("null_or_not", "t IS NULL OR NOT (t < 'm')")]
@@ -161,7 +123,7 @@ _NULLS = [("differs", "t <> 'view'"), ("equals_null", "t = NULL"), ("null_or_not
 @query("WITH e AS (SELECT event_id, nullif(event_type, 'error') AS t FROM events) " + " UNION ALL ".join(f"SELECT '{n}' AS test, event_id FROM e WHERE {c}" for n, c in _NULLS))
 def null_predicates(spark, d):
     """Three-valued logic on a column with nulls."""
-    e = table(spark, d, "events").select("event_id", F.expr("nullif(event_type, 'error')").alias("t"))
+    e = engine_with(spark, d, ["events"]).table("events").select("event_id", F.expr("nullif(event_type, 'error')").alias("t"))
     # one scan: each row is tested against all three
     tests = F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in _NULLS))
     return e.select(F.explode(F.array_compact(tests)).alias("test"), "event_id")
@@ -169,40 +131,13 @@ def null_predicates(spark, d):
 
 # aggregates ---------------------------------------------------------------------------------------------------------
 
-_AGG = "l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount < 0.08"
 _SUM = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
-_AGGS = f"COUNT(*) AS n, {_SUM.format('l_quantity')} AS total, MIN(l_extendedprice) AS lowest, MAX(l_extendedprice) AS highest, ROUND(AVG(l_quantity), 9) AS mean"
-
-
-@query(f"SELECT {_AGGS} FROM lineitem WHERE {_AGG}")
-def agg_filtered(spark, d):
-    df = table(spark, d, "lineitem").where(F.expr(_AGG.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")))
-    return df.agg(
-        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("total"), F.min("l_extendedprice").alias("lowest"), F.max("l_extendedprice").alias("highest"), F.round(F.avg("l_quantity"), 9).alias("mean")
-    )
-
-
-@query("SELECT count(*) AS n, count(nullif(event_type, 'error')) AS known, count(DISTINCT event_type) AS types, count(DISTINCT user_id) AS users FROM events")
-def agg_count_variants(spark, d):
-    e = table(spark, d, "events")
-    return e.agg(F.count("*").alias("n"), F.count(F.expr("nullif(event_type, 'error')")).alias("known"), F.count_distinct("event_type").alias("types"), F.count_distinct("user_id").alias("users"))
-
-
-@query("SELECT count(*) AS n, sum(l_quantity) AS total, min(l_quantity) AS lowest, max(l_quantity) AS highest, avg(l_quantity) AS mean FROM lineitem WHERE l_quantity < -1")
-def agg_empty_input(spark, d):
-    df = table(spark, d, "lineitem").where("l_quantity < -1")
-    return df.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"), F.min("l_quantity").alias("lowest"), F.max("l_quantity").alias("highest"), F.avg("l_quantity").alias("mean"))
-
-
-@query(f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_extendedprice')} AS total, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
-def agg_grouped(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"), F.count("*").alias("n"))
-    return g.where("n > 10")
-
-
-@query(f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_quantity')} AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def agg_rollup(spark, d):
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("total"))
+_AGGS = f"SELECT COUNT(*) AS n, {_SUM.format('l_quantity')} AS total, MIN(l_extendedprice) AS lowest, MAX(l_extendedprice) AS highest, ROUND(AVG(l_quantity), 9) AS mean FROM lineitem WHERE l_shipdate >= TIMESTAMP{{}} '1995-01-01' AND l_discount < 0.08"
+statement("agg_filtered", _AGGS.format("_NTZ"), _AGGS.format(""))
+statement("agg_count_variants", "SELECT count(*) AS n, count(nullif(event_type, 'error')) AS known, count(DISTINCT event_type) AS types, count(DISTINCT user_id) AS users FROM events")
+statement("agg_empty_input", "SELECT count(*) AS n, sum(l_quantity) AS total, min(l_quantity) AS lowest, max(l_quantity) AS highest, avg(l_quantity) AS mean FROM lineitem WHERE l_quantity < -1")
+statement("agg_grouped", f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_extendedprice')} AS total, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
+statement("agg_rollup", f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_quantity')} AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 
 
 @query("SELECT count(*) AS n, min(o_orderkey) AS lowest, max(o_orderkey) AS highest FROM orders")
@@ -213,20 +148,11 @@ def agg_compacted(spark, d):
     return engine.execute("SELECT count(*) AS n, min(o_orderkey) AS lowest, max(o_orderkey) AS highest FROM orders").rows
 
 
-@query(f"SELECT o_orderpriority, count(*) AS n, {_SUM.format('o_totalprice')} AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority ORDER BY o_orderpriority")
-def engine_sql(spark, d):
-    engine, _ = _loaded(spark, d, "orders", "o_orderkey")
-    return engine.execute("SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority ORDER BY o_orderpriority").rows
-
-
-@query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def engine_sql_join(spark, d):
-    engine = _engine(spark)
-    for name, key in (("customer", "c_custkey"), ("nation", "n_nationkey")):
-        df = table(spark, d, name)
-        engine.create_table(_schema(df, name, key))
-        engine.store(name).put(df)
-    return engine.execute("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name").rows
+statement("engine_sql", f"SELECT o_orderpriority, count(*) AS n, {_SUM.format('o_totalprice')} AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority ORDER BY o_orderpriority")
+statement("engine_sql_join", "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+statement("sql_point_subquery", "SELECT o_orderkey, (SELECT count(*) FROM orders) AS n, (SELECT max(o_totalprice) FROM orders) AS top FROM orders WHERE o_orderkey = 42")
+statement("sql_point_self_join", "SELECT a.o_orderkey, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey = 42")
+statement("sql_point_union", "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey = 42")
 
 
 # versions -----------------------------------------------------------------------------------------------------------
@@ -297,15 +223,16 @@ def compaction_stats(spark, d):
     return spark.createDataFrame([(s["entries_in"], s["entries_out"], s["duplicates_removed"])], "entries_in bigint, entries_out bigint, duplicates_removed bigint")
 
 
-@query("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1".replace("SELECT * FROM (", "SELECT user_id, event_id FROM ("))
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
 def compacted_read(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id").sortWithinPartitions("event_id")
+    """All events of all users as versions of the users' rows, the younger half committed first; the compaction keeps the last of each."""
+    e = table(spark, d, "events").select("user_id", "event_id")
     engine = _engine(spark)
-    engine.create_table(_schema(e, "events", "user_id"))
+    engine.create_table(TableSchema("events", [ColumnSpec("user_id", e.schema["user_id"].dataType), ColumnSpec("event_id", e.schema["event_id"].dataType)], "user_id", ordered=True))
     store = engine.store("events")
-    latest = merge.latest(e, "user_id", [F.col("event_id")], ["user_id", "event_id"])
-    store.put(e.join(latest.select("user_id", F.col("event_id").alias("_l")), "user_id").where("event_id < _l").drop("_l"))
-    store.put(latest)
+    half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    store.put(e.where(F.col("event_id") > half), order=F.col("event_id"))
+    store.put(e.where(F.col("event_id") <= half), order=F.col("event_id"))
     store.compact_all()
     return store.read()
 
@@ -386,16 +313,31 @@ def delta_encode(spark, d):
     return columnar.delta_encode(table(spark, d, "events"), "event_id", "user_id")
 
 
+@query("SELECT event_id, user_id AS val FROM events")
+def delta_roundtrip(spark, d):
+    return columnar.delta_decode(columnar.delta_encode(table(spark, d, "events"), "event_id", "user_id"), "event_id")
+
+
+@query("SELECT user_id AS val, count(*) AS n FROM events GROUP BY user_id")
+def bitpack_roundtrip(spark, d):
+    return columnar.bit_unpack(columnar.bit_pack(table(spark, d, "events"), "event_id", "user_id")).groupBy("val").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT event_type) AS entries FROM events")
+def dict_size(spark, d):
+    return columnar.dictionary_size(columnar.dictionary(table(spark, d, "events"), "event_id", "event_type"))
+
+
+@query("SELECT count(l_quantity) AS count_value, sum(l_quantity) AS sum_value, avg(l_quantity) AS avg_value, min(l_quantity) AS min_value, max(l_quantity) AS max_value FROM lineitem")
+def block_aggregate(spark, d):
+    return columnar.from_blocks(columnar.block_stats(table(spark, d, "lineitem"), F.floor(F.col("l_orderkey") / 1000), "l_quantity"))
+
+
 @query("SELECT length(bin(max(user_id))) AS bits FROM events")
 def bit_width(spark, d):
     return table(spark, d, "events").agg(columnar.bit_width(F.col("user_id")).cast("bigint").alias("bits"))
 
 
-@query()
-def crc32_rows(spark, d):
-    return table(spark, d, "events").select("event_id", columnar.crc32(F.col("props")).alias("crc"))
-
-
 @query("SELECT event_id, user_id, event_type FROM events")
 def row_codec_roundtrip(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
@@ -424,49 +366,28 @@ def describe_table(spark, d):
     return engine.execute("DESCRIBE orders").rows
 
 
-@query()
-def explain_plans(spark, d):
-    """The router's plans of each kind of request."""
-    engine, store = _loaded(spark, d, "orders", "o_orderkey")
-    requests = [router.QueryRequest.point("orders", 1), router.QueryRequest.range("orders", 1, 50), router.QueryRequest.full("orders"), router.QueryRequest.starting("orders", "1"), router.QueryRequest.aggregation("orders", "count(*)")]
-    plans = [engine.router.plan(r, store) for r in requests]
-    return spark.createDataFrame([(p.request.kind, p.rows, p.cost, p.explain()) for p in plans], "type string, rows bigint, cost double, text string")
-
-
-@query()
-def level_stats(spark, d):
-    """The manifest: one row per file."""
-    engine, store = _loaded(spark, d, "orders", "o_orderkey")
-    store.compact(0)
-    return store.manifest_frame()
-
-
 @query("SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
 def stream_upsert(spark, d):
-    """A file stream of changes written into a table batch by batch; each batch is one commit."""
+    """The raw events, shuffled by a hash over four files, as one stream of changes into an ordered table; each batch is one commit."""
     source = new_path(spark, "stream")
     e = table(spark, d, "events").select("user_id", "event_id", "value", (F.col("event_type") == "error").alias("gone"))
-    # four files in order of event, and within a file only the last change of each user, as order inside a batch is not kept
-    ranged = e.repartitionByRange(4, "event_id").withColumn("part", F.spark_partition_id())
-    last = ranged.groupBy("part", "user_id").agg(F.max_by(F.struct("value", "gone"), "event_id").alias("x"))
-    last = last.select("part", "user_id", "x.value", "x.gone")
-    for part in range(4):
-        last.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{source}/b{part}")
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(source)
     engine = _engine(spark)
-    engine.create_table(TableSchema("users", [ColumnSpec("user_id", last.schema["user_id"].dataType), ColumnSpec("value", last.schema["value"].dataType)], "user_id"))
-    for part in range(4):
-        stream = ingest.file_stream(spark, f"{source}/b{part}", last.drop("part").schema, 1)
-        ingest.upsert_stream(engine, "users", stream, f"events-{part}", f"{source}/checkpoint-{part}", deleted="gone").awaitTermination()
+    engine.create_table(TableSchema("users", [ColumnSpec("user_id", e.schema["user_id"].dataType), ColumnSpec("value", e.schema["value"].dataType)], "user_id", ordered=True))
+    ingest.upsert_stream(engine, "users", ingest.file_stream(spark, source, e.schema, 2), "events", new_path(spark, "checkpoint"), deleted="gone", order="event_id").awaitTermination()
     return engine.table("users")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    """Daily windows by event time, here over the table as a batch (a stream takes the same plan)."""
-    e = table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
-    return ingest.windowed_totals(e, "ts", "1 day", "1 hour", ["event_type"], "value").withColumns({"total": F.col("total").cast("double"), "window_start": F.col("window_start").cast("timestamp_ntz")})
-
-
-@query()
-def generate_transactions(spark, d):
-    return generate.transactions(spark, 10_000)
+    """Daily windows by event time of a file stream in order of time; a last marker far ahead lets the watermark close all windows."""
+    source, out = new_path(spark, "stream"), new_path(spark, "windows")
+    e = table(spark, d, "events").select("ts", "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    e.coalesce(1).sortWithinPartitions("ts").write.parquet(source)
+    stream = ingest.file_stream(spark, source, e.schema, 1)
+    run = lambda: ingest.windowed_totals(stream, "ts", "1 day", "1 hour", ["event_type"], "value").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
+    run()
+    e.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("decimal(18,2)").alias("value")).coalesce(1).write.mode("append").parquet(source)
+    run()
+    found = spark.read.parquet(out)
+    return found.withColumns({"total": F.col("total").cast("double"), "window_start": F.col("window_start").cast("timestamp_ntz")})

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.catalog import ColumnSpec, TableSchema
-from stratalog.engine import Engine
 from stratalog.functions import columnar
+from stratalog.queries.loaded import ask
 from stratalog.session import new_path, table
 from stratalog.sources import columnar_file
-from stratalog.types import stored_type
-
-KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "nation": "n_nationkey", "region": "r_regionkey", "part": "p_partkey", "supplier": "s_suppkey"}
 
 #: Statements that Spark and the comparison read alike.
 STATEMENTS = {
@@ -40,28 +36,6 @@ STATEMENTS = {
 }
 
 
-def load(spark: SparkSession, d: str, names: list[str]) -> Engine:
-    """An engine with the named test tables, each written as one commit."""
-    engine = Engine(spark, new_path(spark, "engine"), auto_compact=False)
-    for name in names:
-        df = table(spark, d, name)
-        engine.create_table(TableSchema(name, [ColumnSpec(f.name, stored_type(f.dataType)) for f in df.schema], KEYS[name]))
-        engine.store(name).put(df)
-    return engine
-
-
-def _statement(text: str):
-    used = [n for n in KEYS if f" {n}" in f" {text.lower()}".replace("(", " ")]
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        result = load(spark, d, used).execute(text)
-        if result.error:
-            raise result.error
-        return result.rows
-
-    return run
-
-
 def _written(spark: SparkSession, d: str) -> str:
     path = new_path(spark, "columns")
     columnar_file.write(table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag").repartitionByRange(4, "l_orderkey"), path, rows_per_group=5000)
@@ -77,8 +51,8 @@ def columnar_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return columnar.column_stats(columnar_file.read_column(spark, _written(spark, d), "l_orderkey"), "l_orderkey")
 
 
-QUERIES = {name: _statement(text) for name, text in STATEMENTS.items()} | {"footer_aggregate": footer_aggregate, "columnar_roundtrip": columnar_roundtrip}
+QUERIES = {name: (lambda spark, d, text=text: ask(spark, d, text)) for name, text in STATEMENTS.items()} | {"footer_aggregate": footer_aggregate, "columnar_roundtrip": columnar_roundtrip}
 SQL = STATEMENTS | {
-    "footer_aggregate": "SELECT count(*) AS total, count(*) - count(l_quantity) AS nulls, CAST(min(l_quantity) AS DOUBLE) AS min_value, CAST(max(l_quantity) AS DOUBLE) AS max_value FROM lineitem",
+    "footer_aggregate": "SELECT count(*) AS total, count(*) - count(l_quantity) AS nulls, CAST(min(l_quantity) AS DOUBLE) AS min_value, CAST(max(l_quantity) AS DOUBLE) AS max_value, CAST(sum(l_quantity) AS DOUBLE) AS sum_value, avg(l_quantity) AS avg_value FROM lineitem",
     "columnar_roundtrip": "SELECT count(*) AS total, count(*) - count(l_orderkey) AS nulls, count(DISTINCT l_orderkey) AS distinct_values, min(l_orderkey) AS min_value, max(l_orderkey) AS max_value FROM lineitem",
 }

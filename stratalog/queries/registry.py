@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.queries import core, extended, pipeline
+from stratalog.queries import core, engine_ops, extended, pipeline
 
-QUERIES = {**core.QUERIES, **extended.QUERIES, **pipeline.QUERIES}
-SQL = {**core.SQL, **extended.SQL, **pipeline.SQL}
+QUERIES = {**core.QUERIES, **engine_ops.QUERIES, **extended.QUERIES, **pipeline.QUERIES}
+SQL = {**core.SQL, **engine_ops.SQL, **extended.SQL, **pipeline.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
