@@ -7,8 +7,10 @@ ratio (Dunning) against its language. Counting is a map-side aggregate in the wo
 are column expressions. The learned lists are written to the shared folder, where the second pass reads them.
 
 The second pass cuts each message into lines, paragraphs and list items and classifies each sentence mark by the lists, the
-marks around it and the next word. The language is that of the paragraph (by script, for Latin script by common
-function words), as labels are often wrong.
+marks around it and the next word. The language is that of the paragraph, as labels are often wrong or missing: by script where
+one language stands for a script, by the script's name where none does, and among the languages of Latin script by a naive Bayes
+vote of frequent words. Its vocabularies are learned from all messages by their labels, so any language with labelled messages has
+one; a word is frequent by its share of a label's words. No list of words is given.
 
 Defined results: null, empty and blank texts and texts that begin with a diff have no sentences. Only a line feed (after an optional
 carriage return) ends a line. Positions are code points of the whole text. Repeated rows give repeated sentences; with few texts
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.session import new_path, settle, spread
+from stratalog.session import new_path, qualified, settle, spread
 
 #: Levels of the log-likelihood ratios: starters strict, the others at p < 0.005 (chi-square, 1 degree of freedom).
 STARTER_LLR, LLR = 30.0, 7.88
@@ -33,7 +35,14 @@ GOES_ON, COHESION = 0.25, 0.3
 STARTER_SHARE = 0.3
 #: The lists are learned from sure ends, then again from all ends that the first lists leave.
 ROUNDS = 2
-LONGEST_TYPE = 14
+#: Periods after words of so many letters are taken for ends when the first starters are learned; such a word can be an abbreviation all the same.
+LONG_WORD = 15
+#: Share of a label's words from which a word is frequent, and share of Latin letters from which a label's language is written so.
+FREQUENT, LATIN_SHARE = 1 / 2000, 0.5
+#: How far a label is believed before a word is read.
+LABEL_TRUST = 0.9
+#: Codes that name no language (fixed values of the standard for language codes).
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 DIFF = "diff --git "
 
 OPENERS = "([{\"'“‘„«‹「『（《【〈¿¡"
@@ -43,15 +52,6 @@ COMMAS = ",;:，、；：،؛"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "【": "】"}
 BRACKETS = "([（【"
 FULL = "。！？｡"
-#: Frequent function words by which paragraphs in Latin script are told apart (fixed values).
-FUNCTION_WORDS = {
-    "en": "the is of and to when at this was that it we with for are a an on by after before no not only as has",
-    "de": "der die das und ist nicht mit wird auf ein eine im am von zu den nur noch gilt hier wie",
-    "fr": "le la les ne est et des une un du dans pour pas plus au sur avec voir avant ce qui",
-    "es": "el la los las ya no y es en una un del para se con por qué lo antes si",
-    "pt": "o a os as não e é em uma um do da dos para foi com isso por quê antes ninguém",
-}
-_WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _STATE: dict = {}
 
 
@@ -74,22 +74,77 @@ def _patterns():
             "figure": regex.compile(r"\d[\d.,]*"),
             "plain": regex.compile(rf"\p{{Ll}}[\p{{L}}\p{{M}}]*+(?:['’-]{word})*"),
             "word": regex.compile(rf"{word}(?:['’-]{word})*"),
+            "letters": re.compile(r"[^\W\d_]+"),
+            "foreign": regex.compile(r"[\p{L}--[\p{Latin}\p{Lm}ªº]]", regex.V1),
             "scripts": [(k, re.compile(v)) for k, v in (("ja", "[぀-ヿ]"), ("ko", "[가-힣]"), ("zh", "[一-鿿]"), ("th", "[ก-๎]"), ("hi", "[ऀ-ॣ०-ॿ]"), ("ar", "[ؠ-ۿ]"), ("ru", "[Ѐ-ӿ]"))],
         }
     return _STATE["p"]
 
 
-def language(text: str, label: str | None) -> str:
-    """Language of a paragraph: by script, else by function words, else the label's if that is written in Latin script."""
-    for name, found in _patterns()["scripts"]:
+def plain_label(label: str | None) -> str:
+    """The language of a label, '' for none."""
+    short = (label or "").strip().lower().replace("_", "-").split("-")[0]
+    return short if 2 <= len(short) <= 3 and short.isascii() and short.isalpha() and short not in NO_LANGUAGE else ""
+
+
+class Tongues:
+    """Languages of Latin script and the counts of their frequent words: rows (label, words of the label, word, count)."""
+
+    def __init__(self, rows=()):
+        from math import log
+
+        totals, counts = {}, {}
+        for label, total, word, n in rows:
+            totals[label] = total
+            counts.setdefault(word, {})[label] = n
+        self.labels = sorted(totals)
+        size, whole = len(counts), sum(totals.values())
+        self.place = {x: i for i, x in enumerate(self.labels)}
+        self.weights = {w: [log((c.get(x, 0) + 0.5) / (totals[x] + 0.5 * size)) for x in self.labels] for w, c in counts.items()}
+        share = [totals[x] / whole for x in self.labels]
+        self.priors = {"": [log(p) for p in share]}
+        for i, x in enumerate(self.labels):
+            self.priors[x] = [log(LABEL_TRUST + (1 - LABEL_TRUST) * p if i == j else (1 - LABEL_TRUST) * p) for j, p in enumerate(share)]
+
+    @classmethod
+    def read(cls, uri: str) -> Tongues:
+        return _read("tongues", uri, ("label", "total", "w", "n"), cls)
+
+    def pick(self, text: str, label: str) -> str:
+        if not self.labels:
+            return label
+        score = self.priors.get(label, self.priors[""])
+        for word in _patterns()["letters"].findall(text.lower()):
+            if w := self.weights.get(word):
+                score = [a + b for a, b in zip(score, w, strict=True)]
+        if label and label not in self.place and score is self.priors[""]:
+            return label  # nothing known of the words: the label's own language
+        return self.labels[max(range(len(score)), key=score.__getitem__)]
+
+
+def language(text: str, label: str | None, tongues: Tongues) -> str:
+    """Language of a paragraph: by script, for Latin script by the vote of its words and its label."""
+    p = _patterns()
+    for name, found in p["scripts"]:
         if found.search(text):
             return name
-    words = text.lower().split()
-    votes = {k: sum(w in own for w in words) for k, own in _WORDS.items()}
-    best = max(votes.values())
-    top = [k for k, v in votes.items() if v == best]
-    label = (label or "").lower().split("-")[0]
-    return label if label in top else top[0] if best else label if label in _WORDS else "en"
+    if other := p["foreign"].search(text):
+        import unicodedata
+
+        return unicodedata.name(other[0], "other").split()[0].lower()  # a script's own statistics
+    return tongues.pick(text, plain_label(label))
+
+
+def _read(slot: str, uri: str, columns: tuple[str, ...], made):
+    """What a worker has read last of a kind; a table of an earlier query gives way to the new one."""
+    if _STATE.get(slot, ("", None))[0] != uri:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        t = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=list(columns))
+        _STATE[slot] = (uri, made(zip(*(t.column(c).to_pylist() for c in columns), strict=True)))
+    return _STATE[slot][1]
 
 
 def segments(message: str) -> list[tuple[int, int, int, bool]]:
@@ -139,26 +194,34 @@ def segments(message: str) -> list[tuple[int, int, int, bool]]:
 
 def _spans(text: str) -> list[tuple[int, int]]:
     """Pairs of quotes and brackets; what has no partner is left out."""
-    out, stack = [], []
+    out, stack, waiting = [], [], Counter()  # waiting: closing marks that would close something
     straight = [i for i, c in enumerate(text) if c == '"']
     if len(straight) % 2 == 0:
         out += zip(straight[::2], straight[1::2], strict=True)
+
+    def close(i: int) -> None:
+        opened = stack.pop()
+        waiting.subtract(PAIRS[text[opened]])
+        out.append((opened, i))
+
     for i, c in enumerate(text):
         if stack and c in PAIRS[text[stack[-1]]]:
-            out.append((stack.pop(), i))
+            close(i)
         elif c in PAIRS:
             stack.append(i)
-        elif c in ")]）】」』»”" and any(c in PAIRS[text[x]] for x in stack):
+            waiting.update(PAIRS[c])
+        elif c in ")]）】」』»”" and waiting[c] > 0:
             while c not in PAIRS[text[stack[-1]]]:
-                stack.pop()
-            out.append((stack.pop(), i))
-    return out
+                waiting.subtract(PAIRS[text[stack.pop()]])
+            close(i)
+    return sorted(out)
 
 
 class Model:
     """The learned lists."""
 
-    def __init__(self, rows=()):
+    def __init__(self, rows=(), tongues: Tongues | None = None):
+        self.tongues = tongues or Tongues()
         self.abbreviations, self.starters, self.collocations, self.ordinary = set(), set(), set(), set()
         for lang, kind, a, b in rows:
             if kind == "abbreviation":
@@ -171,15 +234,10 @@ class Model:
                 self.collocations.add((lang, a, b))
 
     @classmethod
-    def read(cls, uri: str) -> Model:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        if uri not in _STATE:
-            system, path = fs.FileSystem.from_uri(uri)
-            t = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=["lang", "kind", "a", "b"])
-            _STATE[uri] = cls(zip(*(t.column(c).to_pylist() for c in ("lang", "kind", "a", "b")), strict=True))
-        return _STATE[uri]
+    def read(cls, uri: str, tongues: str) -> Model:
+        out = _read("model", uri, ("lang", "kind", "a", "b"), cls)
+        out.tongues = Tongues.read(tongues)
+        return out
 
 
 def _core(token: str) -> str:
@@ -189,7 +247,7 @@ def _core(token: str) -> str:
 def _breaks(text: str, begin: int, lang: str, model: Model) -> list[int]:
     """Ends of the sentences inside a segment, the last one aside; ``begin`` is where its words start."""
     p = _patterns()
-    spans = None
+    spans, open_spans, taken = None, [], 0
     out, last, size = [], begin, len(text)
     for m in p["end"].finditer(text, begin):
         mark, a, j = m[0], m.start(), m.end()
@@ -197,10 +255,12 @@ def _breaks(text: str, begin: int, lang: str, model: Model) -> list[int]:
         smile = mark[0] in ":;"
         if spans is None:
             spans = _spans(text)
-            closing = {x[1] for x in spans}
+            closing: dict[int, list[int]] = {}
+            for o, c in spans:
+                closing.setdefault(c, []).append(o)
         while j < size and text[j] in CLOSERS and not thai and not smile and (text[j] not in '"“' or j in closing):
             j += 1
-        if not thai and j + 1 < size and text[j].isspace() and text[j + 1] == "»" and any(o < a and c == j + 1 for o, c in spans):
+        if not thai and j + 1 < size and text[j].isspace() and text[j + 1] == "»" and j + 1 in closing and any(o < a for o in closing[j + 1]):
             j += 2
         k = j
         while k < size and text[k].isspace():
@@ -218,13 +278,18 @@ def _breaks(text: str, begin: int, lang: str, model: Model) -> list[int]:
             continue
         if after in COMMAS:
             continue
-        inside = [s for s in spans if s[0] < a and s[1] >= j]
+        # spans that began before this mark and have not ended before it, outermost first
+        while taken < len(spans) and spans[taken][0] < a:
+            open_spans.append(spans[taken])
+            taken += 1
+        open_spans = [s for s in open_spans if s[1] >= a]
+        inside = [s for s in open_spans if s[1] >= j]
         if any(text[s[0]] not in BRACKETS or text[last : s[0]].strip() for s in inside):
             continue
         token = text[k:].split(None, 1)[0]
         core = _core(token)
         lower = bool(p["plain"].fullmatch(core)) and (lang, core) not in model.starters
-        quoted = [s for s in spans if s[0] < a <= s[1] < j and text[s[0]] not in BRACKETS]
+        quoted = [s for s in open_spans if s[1] < j and text[s[0]] not in BRACKETS]
         if thai:
             pass
         elif quoted:
@@ -261,7 +326,7 @@ def split_message(message: str, label: str | None, model: Model) -> list[tuple[i
     out = []
     for start, end, words, single in segments(message):
         text = message[start:end]
-        cuts = [] if single else _breaks(text, words - start, language(text, label), model)
+        cuts = [] if single else _breaks(text, words - start, language(text, label, model.tongues), model)
         for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
             part = text[a:b]
             if kept := part.strip():
@@ -270,14 +335,14 @@ def split_message(message: str, label: str | None, model: Model) -> list[tuple[i
     return out
 
 
-def count_message(message: str, label: str | None, words: Counter, pairs: Counter) -> None:
+def count_message(message: str, label: str | None, words: Counter, pairs: Counter, tongues: Tongues) -> None:
     """Add a message's words and what follows each of its periods and sure sentence ends."""
     p = _patterns()
     for start, end, begin, single in segments(message):
         if single:
             continue
         text = message[begin:end]
-        lang = language(text, label)
+        lang = language(text, label, tongues)
         tokens = text.split()
         cores = [_core(t) for t in tokens]
         known = [c if p["word"].fullmatch(c) else "" for c in cores]
@@ -298,10 +363,7 @@ def count_message(message: str, label: str | None, words: Counter, pairs: Counte
             elif p["figure"].fullmatch(kind):
                 left = "##"
             elif p["type"].fullmatch(kind):
-                if len(kind) > LONGEST_TYPE:
-                    left = "#id"
-                else:
-                    left = kind
+                left = kind
             elif kind[-1:] in ".…" or not kind:
                 continue
             else:
@@ -317,7 +379,11 @@ def count_message(message: str, label: str | None, words: Counter, pairs: Counte
             pairs[lang, left, right] += 1
 
 
-def _count(batches: Iterator) -> Iterator:
+def _count(uri: str):
+    return lambda batches: _count_batches(batches, Tongues.read(uri))
+
+
+def _count_batches(batches: Iterator, tongues: Tongues) -> Iterator:
     import pyarrow as pa
 
     words, pairs = Counter(), Counter()
@@ -333,7 +399,7 @@ def _count(batches: Iterator) -> Iterator:
     for b in batches:
         for message, label in zip(b.column("message").to_pylist(), b.column("lang").to_pylist(), strict=True):
             if message:
-                count_message(message, label, words, pairs)
+                count_message(message, label, words, pairs, tongues)
         if len(words) + len(pairs) > 200_000:
             yield from out()
     yield from out()
@@ -346,7 +412,7 @@ def likelihood_ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
         left = F.when(k > 0, k * F.log(p)).otherwise(0.0)
         return left + F.when(n - k > 0, (n - k) * F.log(1 - p)).otherwise(0.0)
 
-    p1, p2, p = k1 / n1, F.when(n2 > 0, k2 / n2).otherwise(F.lit(0.0)), (k1 + k2) / (n1 + n2)
+    p1, p2, p = F.when(n1 > 0, k1 / n1).otherwise(F.lit(0.0)), F.when(n2 > 0, k2 / n2).otherwise(F.lit(0.0)), F.when(n1 + n2 > 0, (k1 + k2) / (n1 + n2)).otherwise(F.lit(0.0))
     ratio = 2 * (part(k1, n1, p1) + part(k2, n2, p2) - part(k1, n1, p) - part(k2, n2, p))
     return F.when(p1 > p2, ratio).otherwise(-ratio)
 
@@ -358,28 +424,44 @@ def shortfall(k: Column, n: Column, share: float) -> Column:
     return F.when((n > 0) & (p < share), 2 * (left + (n - k) * F.log((1 - p) / (1 - share)))).otherwise(0.0)
 
 
-def learn(messages: DataFrame) -> DataFrame:
-    """(lang, kind, a, b): the lists learned from (message, lang)."""
-    counts = settle(messages.select("message", "lang").mapInArrow(_count, "lang string, a string, b string, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "sentence-counts")
-    words = counts.where("a = ''").select("lang", F.col("b").alias("w"), "n")
-    pairs = counts.where("a <> ''")
-    real = pairs.where(~F.col("b").startswith("#")).select("lang", F.col("b").alias("w"), "n")
-    totals = words.unionByName(real).groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    size = totals.groupBy("lang").agg(F.sum("n").alias("size"))
+def learn_tongues(messages: DataFrame) -> DataFrame:
+    """(label, total, w, n): counts of the frequent words of each labelled language of Latin script. At most 1 / FREQUENT words a label."""
+    label = F.split(F.lower(F.trim("lang")), "[-_]")[0]
+    words = messages.select(label.alias("label"), F.explode(F.split(F.lower("message"), "[^\\p{L}]+")).alias("w"))
+    counts = settle(words.where(F.col("label").rlike("^[a-z]{2,3}$") & ~F.col("label").isin(*NO_LANGUAGE) & (F.col("w") != "")).groupBy("label", "w").agg(F.count("*").alias("n")), "label-words")
+    latin = F.col("w").rlike("^\\p{IsLatin}+$")
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total"), F.sum(F.when(latin, F.col("n")).otherwise(0)).alias("latin")).where(F.col("latin") >= LATIN_SHARE * F.col("total")).select("label", "total")
+    own = counts.where(latin).join(F.broadcast(totals), "label")  # a row per label
+    frequent = own.where((F.col("n") >= FREQUENT * F.col("total")) & (F.col("n") > 1)).select("w").distinct()
+    return own.join(frequent, "w", "left_semi").select("label", "total", "w", "n")
+
 
+def learn(messages: DataFrame, tongues: str) -> DataFrame:
+    """(lang, kind, a, b): the lists learned from (message, lang), by the languages in the table at ``tongues``."""
+    counts = settle(messages.select("message", "lang").mapInArrow(_count(tongues), "lang string, a string, b string, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "sentence-counts")
     c = F.col
+    pairs = counts.where("a <> ''")
+    named = ~c("b").startswith("#")
+    # a row per word: all occurrences, those behind a sentence mark, and those without a period
+    totals = settle(
+        counts.where((c("a") == "") | named).groupBy("lang", c("b").alias("w"))
+        .agg(F.sum("n").alias("n"), F.sum(F.when(c("a") != "", c("n")).otherwise(0)).alias("behind"), F.sum(F.when(c("a") == "", c("n")).otherwise(0)).alias("plain")), "sentence-words"
+    )
+    bare = settle(totals.groupBy("lang", F.lower("w").alias("a")).agg(F.sum("plain").alias("without")), "sentence-bare")
+    size = _by_language(totals.groupBy("lang").agg(F.sum("n").alias("size")))("size")
+    left = settle(pairs.groupBy("lang", "a").agg(F.sum("n").alias("n1"), F.sum(F.when(c("b") == "##", c("n")).otherwise(0)).alias("k1")), "sentence-left")
+
     # a capitalised word that is otherwise written small, and hardly ever large inside a sentence, begins one
     small = totals.where(c("w") == F.lower("w")).select("lang", c("w").alias("small"), c("n").alias("small_n"))
-    behind = pairs.where(~c("b").startswith("#")).groupBy("lang", c("b").alias("w")).agg(F.sum("n").alias("behind"))
-    capital = totals.withColumn("small", F.lower("w")).where("w <> small").join(small, ["lang", "small"]).join(behind, ["lang", "w"])
+    capital = totals.where("behind > 0").withColumn("small", F.lower("w")).where("w <> small").join(small, ["lang", "small"])
     capital = settle(capital.where((c("small_n") >= 3) & (c("n") - c("behind") <= c("small_n") * 0.2)).select("lang", "w"), "sentence-capitals")
-    sure = pairs.where("a IN ('#!', '#id', '#start') AND b <> '#end'")
+    sure = pairs.where(f"(a IN ('#!', '#id', '#start') OR (length(a) >= {LONG_WORD} AND a NOT LIKE '%.%')) AND b <> '#end'")
     for _ in range(ROUNDS):
-        ends = sure.groupBy("lang").agg(F.sum("n").alias("ends"))
-        after = sure.where(~c("b").startswith("#")).groupBy("lang", c("b").alias("w")).agg(F.sum("n").alias("k"))
+        after = settle(sure.groupBy("lang", c("b").alias("w")).agg(F.sum("n").alias("k")), "sentence-after")
+        ends = _by_language(after.groupBy("lang").agg(F.sum("k").alias("ends")))("ends")
         starters = (
-            after.join(totals, ["lang", "w"]).join(F.broadcast(size), "lang").join(F.broadcast(ends), "lang")
-            .withColumn("llr", likelihood_ratio(c("k"), c("ends"), F.greatest(c("n") - c("k"), F.lit(0)), F.greatest(c("size") - c("ends"), F.lit(1))))
+            after.where(~c("w").startswith("#")).join(totals, ["lang", "w"]).withColumns({"_ends": ends, "_size": size})
+            .withColumn("llr", likelihood_ratio(c("k"), c("_ends"), F.greatest(c("n") - c("k"), F.lit(0)), F.greatest(c("_size") - c("_ends"), F.lit(1))))
             .where((c("llr") >= LLR) & (c("k") / c("n") >= F.when(c("w") == F.lower("w"), STARTER_SHARE).when(c("llr") >= STARTER_LLR, 0.1).otherwise(0.3))).select("lang", "w")
         )
         starters = settle(starters.union(capital).distinct(), "sentence-starters")
@@ -387,46 +469,52 @@ def learn(messages: DataFrame) -> DataFrame:
         # a period goes on inside its sentence if a lower-case word, a figure, a path or an upper-case word that is no starter follows
         begins = starters.select("lang", c("w").alias("b"), F.lit(True).alias("begins"))
         going = pairs.join(begins, ["lang", "b"], "left").withColumn("on", F.when((c("b") == "##") | (c("b") == "#path"), c("n")).when(c("b").startswith("#"), 0).when(c("begins"), 0).otherwise(c("n")))
-        kinds = going.groupBy("lang", "a").agg(F.sum("on").alias("on"), F.sum("n").alias("per"))
-        sure_on = kinds.where("a IN ('#!', '#id')").groupBy("lang").agg(F.sum("on").alias("on2"), F.sum("per").alias("per2"))
-        bare = words.groupBy("lang", F.lower("w").alias("a")).agg(F.sum("n").alias("without"))
-        types = kinds.where(~c("a").startswith("#")).join(bare, ["lang", "a"], "left").na.fill(0, ["without"])
-        rates = types.groupBy("lang").agg(F.sum("per").alias("all_per")).join(size, "lang")
+        kinds = settle(going.groupBy("lang", "a").agg(F.sum("on").alias("on"), F.sum("n").alias("per")), "sentence-kinds")
+        marked, typed = F.col("a").isin("#!", "#id"), ~F.col("a").startswith("#")
+        rates = _by_language(kinds.groupBy("lang").agg(*(F.sum(F.when(which, c(x)).otherwise(0)).alias(name) for which, x, name in ((marked, "on", "on2"), (marked, "per", "per2"), (typed, "per", "all_per")))))
+        types = kinds.where(typed).join(bare, ["lang", "a"], "left").na.fill(0, ["without"])
         abbreviations = (
-            types.join(F.broadcast(sure_on), "lang", "left").na.fill(0, ["on2", "per2"]).join(F.broadcast(rates), "lang")
-            .withColumn("cohesion", likelihood_ratio(c("per"), c("per") + c("without"), F.greatest(c("all_per") - c("per"), F.lit(0)), F.greatest(c("size") - c("per") - c("without"), F.lit(1))))
-            .withColumn("goes_on", likelihood_ratio(c("on"), c("per"), c("on2"), c("per2")))
+            types.withColumns({"_size": size} | {f"_{x}": rates(x) for x in ("all_per", "on2", "per2")})
+            .withColumn("cohesion", likelihood_ratio(c("per"), c("per") + c("without"), F.greatest(c("_all_per") - c("per"), F.lit(0)), F.greatest(c("_size") - c("per") - c("without"), F.lit(1))))
+            .withColumn("goes_on", likelihood_ratio(c("on"), c("per"), c("_on2"), c("_per2")))
             .where((c("cohesion") >= LLR) & (c("goes_on") >= LLR) & (c("on") / c("per") >= GOES_ON) & (c("per") / (c("per") + c("without")) >= COHESION))
             .select("lang", F.lit("abbreviation").alias("kind"), "a", F.lit("").alias("b"))
         )
         abbreviations = settle(abbreviations, "sentence-abbreviations")
         # the next round takes every period for an end that isn't a figure's, an abbreviation's or a single letter's
         sure = pairs.where("a <> '##' AND b <> '#end' AND (a LIKE '#%' OR length(a) > 1)").join(abbreviations.select("lang", "a"), ["lang", "a"], "left_anti")
-    left = pairs.groupBy("lang", "a").agg(F.sum("n").alias("n1"))
     collocations = (
-        pairs.where("a = '##' OR length(a) = 1").unionByName(pairs.join(abbreviations.select("lang", "a"), ["lang", "a"], "left_semi")).distinct().where(~c("b").startswith("#")).join(starters.withColumnRenamed("w", "b"), ["lang", "b"], "left_anti").join(left, ["lang", "a"])
-        .join(totals.select("lang", c("w").alias("b"), c("n").alias("total")), ["lang", "b"]).join(F.broadcast(size), "lang")
-        .withColumn("llr", likelihood_ratio(c("n"), c("n1"), F.greatest(c("total") - c("n"), F.lit(0)), F.greatest(c("size") - c("n1"), F.lit(1))))
+        pairs.where("a = '##' OR length(a) = 1").unionByName(pairs.join(abbreviations.select("lang", "a"), ["lang", "a"], "left_semi")).distinct().where(named).join(starters.withColumnRenamed("w", "b"), ["lang", "b"], "left_anti").join(left, ["lang", "a"])
+        .join(totals.select("lang", c("w").alias("b"), c("n").alias("total")), ["lang", "b"]).withColumn("_size", size)
+        .withColumn("llr", likelihood_ratio(c("n"), c("n1"), F.greatest(c("total") - c("n"), F.lit(0)), F.greatest(c("_size") - c("n1"), F.lit(1))))
         .where((c("llr") >= LLR) & (c("n") > 1)).select("lang", F.lit("collocation").alias("kind"), "a", "b")
     )
     # a type whose periods stand before figures far more often than sure ends do (No. 7), whatever else it means
-    figures = (
-        pairs.where("a NOT LIKE '#%' AND b = '##'").join(left, ["lang", "a"])
-        .join(F.broadcast(pairs.where("a IN ('#!', '#id')").groupBy("lang").agg(F.sum(F.when(c("b") == "##", c("n")).otherwise(0)).alias("k2"), F.sum("n").alias("n2"))), "lang")
-        .where((likelihood_ratio(c("n"), c("n1"), c("k2"), c("n2")) >= LLR) & (c("n") / c("n1") >= 0.5)).select("lang", F.lit("collocation").alias("kind"), "a", "b")
-    )
+    ends = _by_language(left.where(marked).groupBy("lang").agg(F.sum("k1").alias("k2"), F.sum("n1").alias("n2")))
+    figures = left.where(typed & (c("k1") > 0)).withColumns({"_k2": ends("k2"), "_n2": ends("n2")}).where((likelihood_ratio(c("k1"), c("n1"), c("_k2"), c("_n2")) >= LLR) & (c("k1") / c("n1") >= 0.5)).select("lang", F.lit("collocation").alias("kind"), "a", F.lit("##").alias("b"))
     # a single letter counts as an abbreviation unless a share that abbreviations need is too low to be chance
     against = F.greatest(shortfall(c("on"), c("per"), GOES_ON), shortfall(c("per"), c("per") + c("without"), COHESION))
     ordinary = types.where((F.length("a") == 1) & (against >= LLR)).join(abbreviations.select("lang", "a"), ["lang", "a"], "left_anti").select("lang", F.lit("ordinary").alias("kind"), "a", F.lit("").alias("b"))
-    collocations = collocations.unionByName(figures).unionByName(ordinary)
-    return starters.select("lang", F.lit("starter").alias("kind"), c("w").alias("a"), F.lit("").alias("b")).unionByName(abbreviations).unionByName(collocations)
+    return starters.select("lang", F.lit("starter").alias("kind"), c("w").alias("a"), F.lit("").alias("b")).unionByName(abbreviations).unionByName(collocations).unionByName(figures).unionByName(ordinary)
+
+
+def _by_language(sums: DataFrame):
+    """Columns of sums per language, looked up by the row's language: a row per language comes to the driver. 0 where a language has none."""
+    rows = sums.collect()
+
+    def column(name: str) -> Column:
+        if not rows:
+            return F.lit(0).cast("bigint")
+        return F.coalesce(F.element_at(F.create_map(*(x for r in rows for x in (F.lit(r["lang"]), F.lit(r[name]).cast("bigint")))), F.col("lang")), F.lit(0).cast("bigint"))
+
+    return column
 
 
-def _split(uri: str):
+def _split(uri: str, tongues: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = Model.read(uri)
+        model = Model.read(uri, tongues)
         for b in batches:
             ids, starts, ends = [], [], []
             for doc, message, label in zip(b.column("id").to_pylist(), b.column("message").to_pylist(), b.column("lang").to_pylist(), strict=True):
@@ -451,6 +539,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spark = docs.sparkSession
     # both passes read the messages, a fraction of the texts; they are cut from them once
     messages = spread(settle(messages_of(docs, id_col, text_col, lang_col), "messages"))
-    uri = new_path(spark, "sentence-model")
-    learn(messages).write.parquet(uri)
-    return messages.mapInArrow(_split(uri if "://" in uri else f"file://{uri}"), "id bigint, sent_start bigint, sent_end bigint").withColumnRenamed("id", id_col)
+    tongues, uri = qualified(spark, new_path(spark, "sentence-tongues")), qualified(spark, new_path(spark, "sentence-model"))
+    learn_tongues(messages).write.parquet(tongues)
+    learn(messages, tongues).write.parquet(uri)
+    return messages.mapInArrow(_split(uri, tongues), "id bigint, sent_start bigint, sent_end bigint").withColumnRenamed("id", id_col)

@@ -1,10 +1,12 @@
 from stratalog.llm import sentences as S
 from stratalog.session import ship
 
+from .test_sentences import learned as learn
+
 
 def learned(spark, bodies):
     df = spark.createDataFrame([(i, f"Subject {i}\n\n{b}") for i, b in enumerate(bodies)], "doc_id bigint, text string").selectExpr("*", "'en' AS lang")
-    return {(r["kind"], r["a"]) for r in S.learn(S.messages_of(df)).collect()}
+    return {(r["kind"], r["a"]) for r in learn(df).collect()}
 
 
 def test_a_letter_is_judged_by_how_it_is_used_and_not_by_its_count(spark):

@@ -1,12 +1,13 @@
 import pytest
 
 from stratalog.llm import sentences as S
-from stratalog.session import ship
+from stratalog.session import new_path, qualified, ship
 
 MODEL = S.Model(
     [("en", "abbreviation", "etc", ""), ("en", "abbreviation", "approx", ""), ("de", "abbreviation", "z", ""), ("de", "abbreviation", "b", ""), ("de", "collocation", "##", "Lauf"), ("en", "collocation", "no", "##")]
     + [("en", "starter", w, "") for w in ("Closes", "The", "We", "iostat")]
-    + [("de", "starter", "Der", "")]
+    + [("de", "starter", "Der", "")],
+    S.Tongues([(x, 1000, w, n) for x, words in (("en", "the is of"), ("de", "der die ist"), ("es", "el no cambia"), ("fr", "la est ne")) for w in words.split() for n in (40,)]),
 )
 #: Each message is the sentences joined by |, where a mark stands for what lies between them.
 CASES = [
@@ -33,6 +34,12 @@ CASES = [
 ]
 
 
+def learned(df):
+    tongues = qualified(df.sparkSession, new_path(df.sparkSession, "tongues"))
+    S.learn_tongues(S.messages_of(df)).write.parquet(tongues)
+    return S.learn(S.messages_of(df), tongues)
+
+
 @pytest.mark.parametrize(("lang", "marked"), CASES)
 def test_cases(lang, marked):
     parts = marked.split("|")
@@ -58,9 +65,9 @@ def test_likelihood_ratio_learns_abbreviations(spark):
     ship(spark)
     texts = []
     for i in range(300):
-        texts.append((i, f"Subject {i}\n\nThe sizes, keys foo. stay the same. We see foo. more than that. The queue is full! We stop. The end of it.\n\ndiff --git a/x b/x\nnot. read foo. here", "xx", 1))
+        texts.append((i, f"Subject {i}\n\nThe sizes, keys foo. stay the same. We see foo. more than that. The queue is full! We stop. The end of it.\n\ndiff --git a/x b/x\nnot. read foo. here", "en", 1))
     df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, message int")
-    found = {(r["lang"], r["kind"], r["a"]) for r in S.learn(S.messages_of(df)).collect()}
+    found = {(r["lang"], r["kind"], r["a"]) for r in learned(df).collect()}
     assert ("en", "abbreviation", "foo") in found and ("en", "starter", "We") in found
     assert not {("en", "abbreviation", w) for w in ("same", "that", "stop", "it")} & found
     got = S.sentences(df).where("doc_id = 7").orderBy("sent_start").collect()
@@ -74,3 +81,51 @@ def test_frames_with_odd_rows(spark):
     got = sorted((tuple(r) for r in S.sentences(df).collect()), key=repr)
     assert got == sorted([(5, 0, 4), (5, 5, 8), (5, 0, 4), (5, 5, 8), (None, 0, 5), (6, 0, 25), (6, 26, 29)], key=repr)
     assert S.sentences(df.limit(0)).count() == 0
+
+
+def test_languages_are_learned_from_labels(spark):
+    ship(spark)
+    texts = {
+        "en": "the value of the map is wrong and it was not seen", "it": "la somma non torna perché il valore è sbagliato e non si vede", "pl": "wartość jest zła i nie widać jej w pliku bo się nie zapisuje",
+        "pt": "o valor está errado e não se vê na soma do mapa", "ru": "значение не то и его не видно", "el": "η τιμή είναι λάθος",
+    }
+    rows = [(10 * i + n, f"{t} {i}", x if i % 10 else ("EN" if i % 20 else None), 1) for i in range(60) for n, (x, t) in enumerate(texts.items())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, message int")
+    found = S.learn_tongues(S.messages_of(df)).collect()
+    tongues = S.Tongues([(r["label"], r["total"], r["w"], r["n"]) for r in found])
+    assert tongues.labels == ["en", "it", "pl", "pt"]  # other scripts have no need of a vote
+    for x, t in texts.items():
+        want = {"el": "greek"}.get(x, x)
+        for label in (None, "en", "und", "fr", x, f"{x}_XX"):
+            assert S.language(t, label, tongues) == want, (x, label)
+    assert S.language("שלום עולם", "en", tongues) == "hebrew" and S.language("zzz qqq", "it-IT", tongues) == "it" and S.language("zzz", "fi", tongues) == "fi"
+    assert S.language("", None, S.Tongues()) == "" and S.language("words", "sv", S.Tongues()) == "sv"
+
+
+def test_a_long_word_can_be_an_abbreviation(spark):
+    ship(spark)
+    word = "abbreviationslike"
+    body = f"We see {word}. more than that. The size of it, {word}. is small. The queue is full! We stop. The end is near."
+    df = spark.createDataFrame([(i, f"Subject {i}\n\n{body}", "en") for i in range(200)], "doc_id bigint, text string, lang string")
+    assert ("abbreviation", word) in {(r["kind"], r["a"]) for r in learned(df).collect()}
+
+
+def test_deep_and_long_quotations_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    text = "Subject\n\n" + "“" + "We say it. " * 20_000 + "” " + "(a. " * 2_000 + ")" * 2_000 + "[" * 20_000 + ")" * 20_000
+    assert S.split_message(text, "en", MODEL)
+    assert time.perf_counter() - began < 20
+
+
+def test_a_worker_keeps_one_model(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({"label": ["en"], "total": [10], "w": [name], "n": [3]}), tmp_path / name / "x.parquet")
+    uris = [f"file://{tmp_path}/{n}" for n in ("a", "b")]
+    assert [set(S.Tongues.read(u).weights) for u in uris] == [{"a"}, {"b"}]
+    assert not set(uris) & set(S._STATE) and S._STATE["tongues"][0] == uris[1]
