@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH: list[list[str]] = []
 
 
 def build_session(app: str = "stratalog", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,12 +68,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors cost nothing upstream."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors cost nothing upstream.
+
+    The table goes when the ``scratch`` around the call ends, or else with the application.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that were settled inside when the block ends; what is to stay must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that one wave should have at least."""
     return max(int(spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.shuffle.partitions")))
