@@ -1,7 +1,7 @@
 """Column statistics, zone maps and encodings as DataFrame expressions.
 
 Encodings keep an order column. Those that need the order of all rows run it by key (``by``) or, without a key, in two levels:
-the rows are range-partitioned by the order, every partition works on its own part, and only the totals of the partitions
+the rows are range-partitioned by the order (which costs nothing where they are already), every partition works on its own part, and only the totals of the partitions
 (one row each) meet in one task, so no task sees the whole input.
 """
 
@@ -49,7 +49,7 @@ def _parts(df: DataFrame, order: str) -> DataFrame:
     """Rows with the number of their range partition, which follows the order; fixed by a write so that it can't change."""
     from stratalog.session import settle
 
-    return settle(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "ordered")
+    return settle(df.orderBy(order).withColumn("_part", F.spark_partition_id()), "ordered")
 
 
 def _before(df: DataFrame, order: str, value: Column) -> DataFrame:
@@ -124,7 +124,7 @@ def rle_encode(df: DataFrame, order: str, column: str) -> DataFrame:
 
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(order, F.col(column)).repartitionByRange(F.col(order)).sortWithinPartitions(order).select(column)
+    rows = df.select(order, F.col(column)).orderBy(order).select(column)
     kind = df.schema[column].dataType.simpleString()
     runs = settle(rows.mapInArrow(_local_runs(column), f"_part int, _n bigint, val {kind}, run_len bigint"), "runs")
     ends = runs.groupBy("_part").agg(F.count("*").alias("k"), F.min_by(F.struct("val", "run_len"), "_n").alias("head"), F.max_by(F.struct("val"), "_n").alias("tail")).orderBy("_part").collect()
@@ -242,7 +242,7 @@ def bit_pack(df: DataFrame, order: str, column: str) -> DataFrame:
         if size:
             yield from packed(pa.chunked_array(kept))
 
-    return df.select(order, F.col(column).cast("bigint").alias("v")).repartitionByRange(F.col(order)).sortWithinPartitions(order).select("v").mapInArrow(run, _PACKED)
+    return df.select(order, F.col(column).cast("bigint").alias("v")).orderBy(order).select("v").mapInArrow(run, _PACKED)
 
 
 def bit_unpack(blocks: DataFrame) -> DataFrame:

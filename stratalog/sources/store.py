@@ -46,6 +46,8 @@ COLUMNAR_LEVEL = 4
 FILE_BYTES = 128 << 20
 #: Newer keys up to this many bytes are sent to the base; more of them meet the base files they overlap by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Keys of a batch up to this many are sent to the table.
+BATCH_KEYS = 500_000
 #: Versions after which the manifest is written whole.
 SNAPSHOT_EVERY = 20
 #: How often a commit that was overtaken is tried again.
@@ -100,6 +102,32 @@ class FileIndex:
                 i -= 1
         return out
 
+    def find_many(self, keys) -> list[tuple[FileMeta, object]]:
+        """For many keys at once: each file that can hold some of them, with their positions."""
+        import numpy as np
+
+        keys = np.asarray(keys)
+        found: dict[str, tuple[FileMeta, list]] = {f.path: (f, [np.arange(keys.size)]) for f in self.open}
+        for starts, ends, own in self.levels.values():
+            if not own:
+                continue
+            starts, ends, last = np.asarray(starts), np.asarray(ends), np.asarray([f.max_key for f in own])
+            who = np.arange(keys.size)
+            at = np.searchsorted(starts, keys, side="right") - 1
+            while who.size:
+                live = at >= 0
+                live[live] = ends[at[live]] >= keys[who[live]]
+                who, at = who[live], at[live]
+                hit = last[at] >= keys[who]
+                if hit.any():
+                    order = np.argsort(at[hit], kind="stable")
+                    files, mine = at[hit][order], who[hit][order]
+                    cuts = np.flatnonzero(np.diff(files)) + 1
+                    for part, f in zip(np.split(mine, cuts), files[np.r_[0, cuts]], strict=True):
+                        found.setdefault(own[f].path, (own[f], []))[1].append(part)
+                at = at - 1
+        return [(f, np.concatenate(parts)) for f, parts in found.values()]
+
 
 def level_limit(level: int) -> int:
     """Bytes a level may hold; level 0 counts files."""
@@ -350,14 +378,19 @@ class TableStore:
         page = rows[:limit]
         return self.spark.createDataFrame(page, df.schema), len(rows) > limit, page[-1][self.key] if len(rows) > limit else None
 
+    def _hits(self, wanted: DataFrame) -> DataFrame:
+        """The rows of wanted keys. Few keys are sent to the table, so it is neither shuffled nor sorted; many meet it by a shuffle."""
+        few = wanted.count() <= BATCH_KEYS
+        return self.read().join(F.broadcast(wanted) if few else wanted, self.key, "left_semi")
+
     def batch_get(self, keys: DataFrame, key: str) -> DataFrame:
         """Each wanted key with its row; nulls where there is none."""
         wanted = keys.select(F.col(key).cast(self.schema.column(self.key).type).alias(self.key))
-        return wanted.join(self.read(), self.key, "left")
+        return wanted.join(self._hits(wanted), self.key, "left")
 
     def missing(self, keys: DataFrame, key: str) -> DataFrame:
         wanted = keys.select(F.col(key).cast(self.schema.column(self.key).type).alias(self.key))
-        return wanted.join(self.read(), self.key, "left_anti")
+        return wanted.join(self._hits(wanted).select(self.key), self.key, "left_anti")
 
     def range_with_tombstones(self, low=None, high=None) -> tuple[DataFrame, DataFrame]:
         """(live rows, deleted keys) of a range."""

@@ -142,6 +142,10 @@ def test_file_index_equals_a_scan():
     index = S.FileIndex(files)
     for key in range(0, 10_300, 37):
         assert {f.path for f in index.find(key)} == {f.path for f in files if f.may_contain(key)}
+    keys = [rng.randrange(-50, 10_400) for _ in range(500)]
+    many = {f.path: sorted(keys[i] for i in at) for f, at in index.find_many(keys)}
+    assert many == {f.path: hits for f in files if (hits := sorted(k for k in keys if f.may_contain(k)))}
+    assert S.FileIndex([]).find_many([1]) == []
 
 
 def test_footers_read_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
