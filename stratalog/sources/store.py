@@ -169,6 +169,7 @@ class TableStore:
         self.spark, self.path, self.schema = spark, qualified(spark, path.rstrip("/")), schema
         self.key = schema.primary_key
         self.columns = [c.name for c in schema.columns]
+        self._unique = not schema.ordered  # rows of one write may share an order value
         self.stored = T.StructType([*(T.StructField(c.name, c.type) for c in schema.columns), T.StructField(merge.SEQ, T.LongType()), T.StructField(merge.ORD, T.LongType()), T.StructField(merge.DELETED, T.BooleanType())])
 
     # manifest -----------------------------------------------------------------------------------------------------
@@ -318,7 +319,7 @@ class TableStore:
         if not newer:
             return self.log(below).select(*columns)
         if not below:
-            return merge.latest(self.log(newer), self.key, order, columns)
+            return merge.latest(self.log(newer), self.key, order, columns, self._unique)
         over = [f for f in below if any(f.min_key is None or d.min_key is None or f.overlaps(d.min_key, d.max_key) for d in newer)]
         apart = [f for f in below if f not in over]
         log = self.log(newer)
@@ -331,7 +332,7 @@ class TableStore:
             parts.append(old.join(keys, self.key, "left_anti").select(*columns))
             if self.schema.ordered:  # a newer write may carry an older order
                 log = log.unionByName(old.join(keys, self.key, "left_semi").select(*log.columns))
-        parts.append(merge.latest(log, self.key, order, columns))
+        parts.append(merge.latest(log, self.key, order, columns, self._unique))
         if apart:
             parts.append(self.log(apart).select(*columns))
         out = parts[0]
@@ -345,7 +346,7 @@ class TableStore:
         if self._plain(files):
             return self.log(files).select(*self.columns)
         if few:
-            return merge.live(self.log(files).coalesce(1), self.key, self.columns)
+            return merge.live(self.log(files).coalesce(1), self.key, self.columns, self._unique)
         return self._merged(files, [*self.columns, merge.DELETED]).where(~F.col(merge.DELETED)).drop(merge.DELETED)
 
     def get(self, key) -> DataFrame:
@@ -424,7 +425,7 @@ class TableStore:
         return [f for f in self.files() if f.level == level]
 
     def read_levels(self, levels: list[int]) -> DataFrame:
-        return merge.live(self.log([f for f in self.files() if f.level in levels]), self.key, self.columns)
+        return merge.live(self.log([f for f in self.files() if f.level in levels]), self.key, self.columns, self._unique)
 
     # compaction ---------------------------------------------------------------------------------------------------
 

@@ -38,6 +38,9 @@ def test_the_base_is_not_shuffled_or_aggregated(spark, monkeypatch):
     # three scans: the base behind a broadcast anti join, the newer keys, the newer rows; only the newer ones are shuffled
     assert "BroadcastHashJoin" in text and "LeftAnti" in text and "SortMergeJoin" not in text
     assert text.count("Exchange hashpartitioning") == 2
+    # only the columns that are asked for are read, by the base and by what is merged
+    keys_only = plan(df.select("k"))[1]
+    assert "ReadSchema" in keys_only and all("v:bigint" not in part.split("\n")[0] for part in keys_only.split("ReadSchema")[1:])
     # a filter on a column goes down to the base's scan
     assert "GreaterThan(v,39990)" in plan(df.where("v > 39990"))[1]
     store.compact(0)
